@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.operators.nested import elements, flat_table, triples
 from ledgerloom.operators.timestamps import capture_instants
 from ledgerloom.session import table
 
@@ -16,5 +17,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return capture_instants(table(spark, d, "dedupe_docs"), table(spark, d, "dedupe_requests"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return elements(table(spark, d, "coc_envelopes"))
+
+
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The flat table of all key-value pairs of the segments, pivoted from its triples."""
+    return flat_table(triples(table(spark, d, "coc_envelopes")), "/machine_readable/segments/*/content/pairs/*",
+                      ["/key", "/value", "/delimiter"])
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p5_found": p5_found, "p5_pairs": p5_pairs}
 SQL: dict[str, str] = {}
