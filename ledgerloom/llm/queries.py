@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.duplicates import collapse
+from ledgerloom.llm.passages import shared_chars
 from ledgerloom.session import table
 
 
@@ -18,6 +19,10 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return collapse(table(spark, d, "dedupe_docs"))[0]
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_chars(table(spark, d, "documents"))
+
+
 _P2_FORMS = r"""
 WITH forms AS (
   SELECT doc_key, array_to_string(list_sort(list_filter(regexp_split_to_array(
@@ -29,6 +34,7 @@ groups AS (SELECT form, min(doc_key) AS first_key, count(*) AS copies FROM forms
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_records": p2_records,
+    "p9_found": p9_found,
 }
 
 SQL: dict[str, str] = {
