@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.duplicates import collapse
 from ledgerloom.llm.passages import shared_chars
+from ledgerloom.llm.tokens import decode, encode
 from ledgerloom.session import table
 
 
@@ -19,6 +20,15 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return collapse(table(spark, d, "dedupe_docs"))[0]
 
 
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode(table(spark, d, "documents"))
+
+
+def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """The exact round trip: encoded and decoded again; null texts come back empty."""
+    return decode(encode(table(spark, d, "documents")))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_chars(table(spark, d, "documents"))
 
@@ -34,10 +44,13 @@ groups AS (SELECT form, min(doc_key) AS first_key, count(*) AS copies FROM forms
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_records": p2_records,
+    "p7_ids": p7_ids,
+    "p7_decoded": p7_decoded,
     "p9_found": p9_found,
 }
 
 SQL: dict[str, str] = {
     "p2_found": _P2_FORMS + "SELECT g.first_key, f.doc_key FROM forms f JOIN groups g USING (form) WHERE f.doc_key <> g.first_key",
     "p2_records": _P2_FORMS + "SELECT first_key, copies FROM groups UNION ALL SELECT doc_key, 1 FROM dedupe_docs WHERE text IS NULL",
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }
