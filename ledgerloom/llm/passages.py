@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.session import materialise
 
-GRAM = 24
+GRAM = 64
 _CHUNK = 1 << 20
 _U = np.uint64
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.duplicates import collapse
+from ledgerloom.llm.packing import fill, pack
 from ledgerloom.llm.passages import shared_chars
 from ledgerloom.llm.tokens import decode, encode
 from ledgerloom.session import table
@@ -29,6 +30,14 @@ def p7_decoded(spark: SparkSession, d: str) -> DataFrame:
     return decode(encode(table(spark, d, "documents")))
 
 
+def p8_packed(spark: SparkSession, d: str) -> DataFrame:
+    return pack(table(spark, d, "documents"), table(spark, d, "pack_specs"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return fill(p8_packed(spark, d), table(spark, d, "pack_specs"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_chars(table(spark, d, "documents"))
 
@@ -46,6 +55,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_records": p2_records,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
+    "p8_packed": p8_packed,
+    "p8_fill": p8_fill,
     "p9_found": p9_found,
 }
 
