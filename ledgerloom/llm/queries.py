@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.duplicates import collapse
+from ledgerloom.llm.history import resubmissions
 from ledgerloom.llm.names import name_pairs
 from ledgerloom.llm.packing import fill, pack
 from ledgerloom.llm.passages import shared_chars
@@ -22,6 +23,10 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return collapse(table(spark, d, "dedupe_docs"))[0]
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return resubmissions(table(spark, d, "dedupe_docs"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     cases, resolutions = table(spark, d, "cases"), table(spark, d, "resolutions")
     return name_pairs(cases.select("vendor_canon").unionAll(resolutions.select("vendor_canon")), "vendor_canon")
@@ -59,6 +64,7 @@ groups AS (SELECT form, min(doc_key) AS first_key, count(*) AS copies FROM forms
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_records": p2_records,
+    "p4_found": p4_found,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
     "p7_decoded": p7_decoded,
