@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.llm.duplicates import collapse
 from ledgerloom.llm.history import resubmissions
+from ledgerloom.llm.matching import deals
 from ledgerloom.llm.names import name_pairs
 from ledgerloom.llm.packing import fill, pack
 from ledgerloom.llm.passages import shared_chars
@@ -23,6 +24,15 @@ def p2_records(spark: SparkSession, d: str) -> DataFrame:
     return collapse(table(spark, d, "dedupe_docs"))[0]
 
 
+def p3_matches(spark: SparkSession, d: str) -> DataFrame:
+    found = deals(table(spark, d, "relationships"), table(spark, d, "reconcile_requests"))
+    return found.select(F.least("id_l", "id_r").alias("id_1"), F.greatest("id_l", "id_r").alias("id_2"), "confidence")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_matches(spark, d).select("id_1", "id_2")
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return resubmissions(table(spark, d, "dedupe_docs"))
 
@@ -64,6 +74,8 @@ groups AS (SELECT form, min(doc_key) AS first_key, count(*) AS copies FROM forms
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": p2_found,
     "p2_records": p2_records,
+    "p3_found": p3_found,
+    "p3_matches": p3_matches,
     "p4_found": p4_found,
     "p6_found": p6_found,
     "p7_ids": p7_ids,
