@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators.nested import elements, flat_table, triples
+from ledgerloom.plans import record_queries
 from ledgerloom.operators.timestamps import capture_instants
 from ledgerloom.session import table
 
@@ -29,3 +30,6 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p5_found": p5_found, "p5_pairs": p5_pairs}
 SQL: dict[str, str] = {}
+for _module in (record_queries,):
+    QUERIES.update(_module.QUERIES)
+    SQL.update(_module.SQL)
