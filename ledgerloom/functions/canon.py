@@ -100,7 +100,7 @@ def canon_date(value: Column, dayfirst: bool = False) -> Column:
     Foreign month names are replaced as whole words (a plain replacement would damage the English
     names they begin).
     """
-    s = F.regexp_replace(strip(value), r"(\d)\.(\s)", "$1$2")
+    s = F.regexp_replace(F.regexp_replace(strip(value), r"(\d)\.(\s)", "$1$2"), r"[\s\p{Z}]+", " ")
     for foreign, english in FOREIGN_MONTHS.items():
         s = F.regexp_replace(s, r"(?iu)(?<!\p{L})" + foreign + r"(?!\p{L})", english)
     s = F.initcap(s)

@@ -290,8 +290,8 @@ def match_summary(spark, d):
 
 
 @query(r"""
-WITH p AS (SELECT DISTINCT left_rec.rec_id AS a_id, right_rec.rec_id AS b_id, lower(left_rec.reference) AS ra, lower(right_rec.reference) AS rb, left_rec.currency AS ca, right_rec.currency AS cb,
-  lower(left_rec.city) AS la, lower(right_rec.town) AS lb FROM relationships WHERE relationship IN ('MATCH', 'MISMATCH')),
+WITH p AS (SELECT DISTINCT left_rec.rec_id AS a_id, right_rec.rec_id AS b_id, regexp_replace(trim(lower(left_rec.reference)), '\s+', ' ', 'g') AS ra, regexp_replace(trim(lower(right_rec.reference)), '\s+', ' ', 'g') AS rb, left_rec.currency AS ca, right_rec.currency AS cb,
+  regexp_replace(trim(lower(left_rec.city)), '\s+', ' ', 'g') AS la, regexp_replace(trim(lower(right_rec.town)), '\s+', ' ', 'g') AS lb FROM relationships WHERE relationship IN ('MATCH', 'MISMATCH')),
 s AS (SELECT *, (CASE WHEN ra = rb THEN 0.5 ELSE 0.0 END) + (CASE WHEN ca = cb THEN 0.2 ELSE 0.0 END) + (CASE WHEN la = lb THEN 0.3 ELSE 0.0 END) AS same,
   (CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 0.5 ELSE 0.0 END) + (CASE WHEN ca IS NOT NULL AND cb IS NOT NULL THEN 0.2 ELSE 0.0 END) + (CASE WHEN la IS NOT NULL AND lb IS NOT NULL THEN 0.3 ELSE 0.0 END) AS known FROM p)
 SELECT a_id, b_id, CAST(round(same / nullif(known, 0) * 1000) AS BIGINT) AS score, CASE WHEN ra = rb THEN 'PASS' WHEN round(same / nullif(known, 0), 4) >= 0.7 THEN 'PASS' WHEN known = 0 THEN 'NOT_CHECKED' ELSE 'FAIL' END AS status FROM s""")
