@@ -191,7 +191,7 @@ def flat_table(rows: DataFrame, name: str, members: list[str] | None = None) ->
     own = rows.filter(F.col("table") == name)
     if members is None:
         members = sorted(r[0] for r in own.select("member").filter("member <> ''").distinct().collect())
-    picked = [F.max(F.when(F.col("member") == m, F.col("value"))).alias(m.strip("/").replace("/", "_") or "value") for m in members]
+    picked = [F.max(F.when(F.col("member") == m, F.col("value"))).alias("value_member" if m == "/value" else m.strip("/").replace("/", "_")) for m in members]
     return own.groupBy("env_id", "node_path", "parent_path", "ordinal").agg(
         F.max(F.when(F.col("member") == "", F.col("value"))).alias("value"), *picked)
 

@@ -84,7 +84,7 @@ def detect_kv(lines: DataFrame) -> DataFrame:
 
 def nested_pairs(kv: DataFrame) -> DataFrame:
     """Values that are themselves pairs, split at ``;`` or ``,`` where at least 60 % of the parts are pairs."""
-    parts = F.filter(F.transform(F.split("value", "[;,]"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split("value", "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
     pairs = F.filter(parts, lambda x: x.rlike(r"^[\p{L}\p{N}_.-]+(?: [\p{L}\p{N}_.-]+){0,2} ?[:=].+"))
     sized = kv.withColumn("parts", F.size(parts)).withColumn("pairs", F.size(pairs))
     return sized.filter((F.col("parts") >= 2) & (F.col("pairs") >= 0.6 * F.col("parts"))).select("doc_id", "line_no", "key", "parts", "pairs")
@@ -93,7 +93,7 @@ def nested_pairs(kv: DataFrame) -> DataFrame:
 def parse_pipe_rows(lines: DataFrame) -> DataFrame:
     """Cells of lines with pipes, without rule lines; ``width`` is the widest row of the document."""
     rows = lines.filter(F.col("normalized").contains("|") & ~F.col("normalized").rlike(r"^[|\-+ =]+$"))
-    cells = F.transform(F.split(F.regexp_replace("normalized", r"^\|+|\|+$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("normalized", r"^\|+|\|+$", ""), r"\|"), lambda x: F.trim(x))
     rows = rows.select("doc_id", "line_no", cells.alias("cells"))
     return rows.withColumn("width", F.max(F.size("cells")).over(Window.partitionBy("doc_id")))
 
