@@ -68,7 +68,7 @@ def instruments_conflict(a: Column, b: Column) -> Column:
 
 def canon_amount(value: Column) -> Column:
     """Either convention of separators; null for shapes no convention can give."""
-    s = F.regexp_replace(F.regexp_replace(value, r"[\s\p{Z}$£€¥]", ""), r"(?i)\b(" + ISO_CODES + r")\b|(?i)(" + ISO_CODES + r")$", "")
+    s = F.regexp_replace(F.regexp_replace(value, r"[\s\p{Z}$£€¥]", ""), r"(?i)^(" + ISO_CODES + r")|(" + ISO_CODES + r")$", "")
     us = s.rlike(r"^[+-]?\d{1,3}(,\d{3})+(\.\d*)?$")
     eu = s.rlike(r"^[+-]?\d{1,3}(\.\d{3})+(,\d*)?$") & ~s.rlike(r"^[+-]?\d{1,3}\.\d{3}$")
     plain = s.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)$")

@@ -1,7 +1,8 @@
 """Reading files: format detection, text extraction and typed segments.
 
 Binary scans go through ``binaryFile``; a file is read by one task. Formats that need libraries which
-aren't part of the platform (PDF, images) give an unsuccessful result with a warning.
+aren't part of the platform (PDF, images) give an unsuccessful result with a warning. The scan
+leaves out empty files.
 """
 
 from __future__ import annotations
