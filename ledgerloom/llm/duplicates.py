@@ -34,7 +34,7 @@ BLOCK_BITS = 22
 
 def canonical_text(text: Column) -> Column:
     """The fields of a text, bare of everything but letters and digits, in sorted order."""
-    bare = F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{N}\n\r|;•]+", "")
+    bare = F.regexp_replace(F.replace(F.lower(text), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}\n\r|;•]+", "")
     return F.array_join(F.array_sort(F.filter(F.split(bare, r"[\n\r|;•]+"), lambda x: x != "")), "\n")
 
 

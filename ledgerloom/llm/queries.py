@@ -66,7 +66,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 _P2_FORMS = r"""
 WITH forms AS (
   SELECT doc_key, array_to_string(list_sort(list_filter(regexp_split_to_array(
-    regexp_replace(lower(upper(text)), '[^\p{L}\p{N}\n\r|;•]+', '', 'g'), '[\n\r|;•]+'), lambda x: x <> '')), chr(10)) AS form
+    regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}\n\r|;•]+', '', 'g'), '[\n\r|;•]+'), lambda x: x <> '')), chr(10)) AS form
   FROM dedupe_docs WHERE text IS NOT NULL),
 groups AS (SELECT form, min(doc_key) AS first_key, count(*) AS copies FROM forms GROUP BY form)
 """
