@@ -114,7 +114,7 @@ class _Reader(HTMLParser):
     def handle_data(self, data):
         if self.hidden:
             return
-        (self.cell if self.cell is not None else self.parts).append(data)
+        (self.cell if self.cell is not None else self.parts).append(re.sub(r"[ \t\r\n\f]+", " ", data))
 
 
 def html_text(text: str) -> str:
@@ -122,7 +122,7 @@ def html_text(text: str) -> str:
     reader = _Reader()
     reader.feed(text)
     reader.close()
-    lines = [" ".join(x.split()) for x in "".join(reader.parts).split("\n")]
+    lines = [re.sub(r" {2,}", " ", x).strip(" ") for x in "".join(reader.parts).split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
 
