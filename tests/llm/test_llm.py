@@ -87,6 +87,16 @@ def test_matching(spark):
     assert matching.deals(rel.limit(0), text.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{}, {"every": 0}])
+def test_matching_without_a_rare_token(spark, limits):
+    """A party that all rows hold, dates missing on one side, no town, close amounts."""
+    rows = [_rel(2 * i, "L", "Gamipos Jekaru PLC", round(100 * 1.1**i, 2), None, None, "oak beam") for i in range(1, 31)]
+    rows += [_rel(2 * i + 1, "R", "Jekaru Gamipos PLC", round(101 * 1.1**i, 2), "2025-08-21", None, "oak beam") for i in range(1, 31)]
+    text = spark.createDataFrame([], "recon_id long, a_id long, source_a string, b_id long, source_b string, id int")
+    got = {(r.id_l, r.id_r) for r in matching.deals(spark.createDataFrame(rows, _REL), text, **limits).collect()}
+    assert got == {(2 * i, 2 * i + 1) for i in range(1, 31)}
+
+
 def test_marginals_are_exact_on_a_tree(spark):
     """One left record with two candidates, one of which has a rival: exact marginals by enumeration."""
     odds = {(1, 1): 1.0, (1, 2): 0.5, (2, 2): -0.3}
