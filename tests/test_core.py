@@ -149,3 +149,14 @@ def test_linkage_pair(spark):
     c = linkage.canonicalize(r)
     got = linkage.classify(linkage.evidence(linkage.candidate_pairs(c), c)).collect()
     assert [(g.a_id, g.b_id, g.relationship) for g in got] == [(1, 2, "NORMALIZED_DUPLICATE")]
+
+
+def test_fields_of_german_and_french_labels(spark):
+    texts = ["Rechnungsnummer: R-1\nRechnungsdatum: 1.2.2025\nEmpfänger: Acme\nUSt-IdNr: DE1\nZwischensumme: 10,00 EUR\nMwSt 19 %: 1,90 EUR\nGesamtbetrag: 11,90 EUR",
+             "Numéro de facture: F-2\nDate de facture: 2 mars 2025\nDestinataire: Beta\nTotal à payer: 5,00 EUR", "Order Number: 77\nOrder Date: 2025-01-01\nOrder Total: 9.00 EUR",
+             "Payment Reference: P-4\nRechnung Nr.: R-9\nAmount Paid: 3.00 EUR"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_key long, text string")
+    got = {(r.doc_id, r.field): r.value for r in resolve.resolve_fields(resolve.labelled_lines(docs)).collect()}
+    assert got == {(0, "invoice_number"): "R-1", (0, "date"): "1.2.2025", (0, "recipient"): "Acme", (0, "tax_id"): "DE1", (0, "subtotal"): "10,00 EUR", (0, "tax"): "1,90 EUR",
+                   (0, "total"): "11,90 EUR", (1, "invoice_number"): "F-2", (1, "date"): "2 mars 2025", (1, "recipient"): "Beta", (1, "total"): "5,00 EUR", (2, "po_number"): "77",
+                   (2, "date"): "2025-01-01", (2, "total"): "9.00 EUR", (3, "payment_reference"): "P-4", (3, "invoice_number"): "R-9", (3, "total"): "3.00 EUR"}
