@@ -28,16 +28,33 @@ RESULT = T.StructType([T.StructField("text", T.StringType()), T.StructField("suc
                        T.StructField("warnings", T.ArrayType(T.StringType()))])
 
 
+@F.pandas_udf(T.StringType())
+def _office_format(contents: pd.Series) -> pd.Series:
+    """docx or xlsx by the names of all entries of a zip file, else null."""
+
+    def find(raw: bytes | None) -> str | None:
+        if raw is None:
+            return None
+        try:
+            with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                names = z.namelist()
+        except Exception:  # as damaged files raise many kinds
+            return None
+        return next((f for f, folder in (("docx", "word/"), ("xlsx", "xl/")) if any(n.startswith(folder) for n in names)), None)
+
+    return pd.Series([find(x) for x in contents], dtype="object")
+
+
 def detect_format(content: Column, path: Column) -> Column:
-    """By leading bytes, then a look for HTML, then the ending of the name."""
+    """By leading bytes and a zip file's entries, then a look for HTML, then the ending of the name."""
     head = F.hex(F.substring(content, 1, 4))
     sniff = F.lower(F.decode(F.substring(content, 1, 200), "ISO-8859-1"))
-    inner = F.decode(F.substring(content, 1, 4000), "ISO-8859-1")
+    office = _office_format(F.when(head == "504B0304", content))
     ending = F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
     named = F.create_map(*[F.lit(x) for pair in ENDINGS.items() for x in pair])
     return (
         F.when(head == "25504446", "pdf").when(head.startswith("89504E47") | head.startswith("FFD8FF"), "image")
-        .when((head == "504B0304") & inner.contains("word/"), "docx").when((head == "504B0304") & inner.contains("xl/"), "xlsx")
+        .when((head == "504B0304") & office.isNotNull(), office)
         .when((head == "504B0304") & ending.isin("docx", "xlsx"), ending)
         .when(F.ltrim(sniff).startswith("<html") | F.substring(sniff, 1, 80).contains("<!doctype html"), "html")
         .otherwise(F.coalesce(F.try_element_at(named, ending), F.lit("unknown"))))

@@ -114,6 +114,17 @@ def test_files(spark, tmp_path):
     assert got["g.docx"].text == "Hello" and got["h.xlsx"].text == "[SHEET: 1]\n1,k"
 
 
+def test_office_files_with_late_entries(spark, tmp_path):
+    parts = {"one": ("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>Hello</w:t></w:r></w:p></w:body></w:document>'),
+             "two": ("xl/worksheets/sheet1.xml", '<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData><row><c><v>1.0</v></c></row></sheetData></worksheet>')}
+    for name, part in parts.items():
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            z.writestr("docProps/thumbnail.jpeg", b"x" * 10_000)
+            z.writestr(*part)
+    got = {os.path.basename(r.path): (r.format, r.text) for r in formats.read_files(spark, str(tmp_path)).collect()}
+    assert got == {"one": ("docx", "Hello"), "two": ("xlsx", "[SHEET: 1]\n1")}
+
+
 def test_stream_usage(spark, tmp_path):
     e = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     e.repartition(3).write.parquet(str(tmp_path / "in"))
