@@ -92,7 +92,7 @@ def test_matching_without_a_rare_token(spark, limits):
     """A party that all rows hold, dates missing on one side, no town, close amounts; and a pair with a typo in each word."""
     rows = [_rel(2 * i, "L", "Gamipos Jekaru PLC", round(100 * 1.1**i, 2), None, None, "oak beam") for i in range(1, 31)]
     rows += [_rel(2 * i + 1, "R", "Jekaru Gamipos PLC", round(101 * 1.1**i, 2), "2025-08-21", None, "oak beam") for i in range(1, 31)]
-    rows += [_rel(101, "L", None, 107.31, "2025-05-12", "LEFAASU", "ctton spare telladum drum"), _rel(102, "R", "Moyizam Dupepam Elec", 108.40, "May 13 2025", "Lefasu", "cotton drum spare teladum")]
+    rows += [_rel(101, "L", None, 107.31, "2025-05-12", "LEFAASU", "ctton spre telladum drumm"), _rel(102, "R", "Moyizam Dupepam Elec", 108.40, "May 13 2025", "Lefasu", "cotton drum spare teladum")]
     text = spark.createDataFrame([], "recon_id long, a_id long, source_a string, b_id long, source_b string, id int")
     got = {(r.id_l, r.id_r) for r in matching.deals(spark.createDataFrame(rows, _REL), text, **limits).collect()}
     assert got == {(2 * i, 2 * i + 1) for i in range(1, 31)} | {(101, 102)}
