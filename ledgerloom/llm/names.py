@@ -11,7 +11,8 @@ components; a spelling with only an initial joins a component if just one fits.
 Defined results
   * null and blank names: no rows. Names without a letter or digit: linked to nothing.
   * each distinct string counts once, however often it stands in either table.
-  * words of more than ``LONG_WORD`` letters are only compared as equal.
+  * words of more than ``LONG_WORD`` or fewer than ``SHORT_WORD`` letters are only compared as equal.
+  * given names and trade words are the fixed lists below; a short form outside them links only by its letters.
   * a shard that outgrows ``SHARD_WORDS`` is cut into several tries that each query walks.
   * pairs come out for whole components (the pairs are the result); candidates are only formed
     within equal word, other initial and trade, by joins that adaptive execution splits.
@@ -19,9 +20,11 @@ Defined results
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import permutations
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -32,26 +35,40 @@ from ledgerloom.session import materialise
 SHARD_WORDS = 20_000
 #: Words beyond this length are only compared as equal.
 LONG_WORD = 64
+#: Words of fewer letters have too many neighbours to be one of them; they meet where they are equal.
+SHORT_WORD = 4
 
 # Legal forms.
 LEGAL = {"AG", "BV", "CO", "COMPANY", "CORP", "CORPORATION", "GMBH", "INC", "KG", "LLC", "LLP", "LTD", "LIMITED", "NV", "OY", "PLC", "PTY", "SA", "SARL", "SAS", "SPA", "SRL"}
 # Trade words.
 TRADES = [
-    "BROTHERS", "CATERING", "CONSTRUCTION", "DISTRIBUTION", "ELECTRICAL", "ENGINEERING", "FURNITURE", "INSTRUMENTS", "INTERNATIONAL",
-    "LABORATORIES", "LOGISTICS", "MAINTENANCE", "MANUFACTURING", "PACKAGING", "PRINTING", "SERVICES", "TRANSPORT", "WHOLESALE",
+    "AGRICULTURE", "ARCHITECTS", "ASSOCIATES", "AUTOMOTIVE", "BAKERY", "BREWING", "BROTHERS", "CARPENTRY", "CATERING", "CERAMICS", "CHEMICALS", "CLEANING",
+    "COMMUNICATIONS", "CONSTRUCTION", "CONSULTING", "DISTRIBUTION", "ELECTRICAL", "ELECTRONICS", "ENGINEERING", "ENTERPRISES", "FISHERIES", "FORWARDING",
+    "FOUNDRY", "FURNITURE", "GARDENING", "GROCERS", "HARDWARE", "HOLDINGS", "INDUSTRIES", "INSTRUMENTS", "INSURANCE", "INTERNATIONAL", "INVESTMENTS", "JEWELLERS",
+    "LABORATORIES", "LANDSCAPING", "LAUNDRY", "LOGISTICS", "MACHINERY", "MAINTENANCE", "MANUFACTURING", "MARKETING", "MINERALS", "OPTICIANS", "PACKAGING",
+    "PAINTING", "PARTNERS", "PHARMACEUTICALS", "PLASTICS", "PLUMBING", "PRINTING", "PROPERTIES", "PUBLISHING", "RECYCLING", "REFRIGERATION", "ROOFING", "SERVICES",
+    "SHIPPING", "SOLUTIONS", "SYSTEMS", "TECHNOLOGIES", "TEXTILES", "TRADING", "TRANSPORT", "VENTURES", "WAREHOUSING", "WHOLESALE", "WOODWORKS",
 ]
 # Other forms of trade words that aren't made of their letters in order.
 TRADE_FORMS = {"PRINTERS": "PRINTING", "CATERERS": "CATERING", "ENGINEERS": "ENGINEERING", "LABORATORY": "LABORATORIES"}
 # Given names and their short forms.
 GIVEN = {
-    "ALEXANDER": ["ALEX", "ALEC", "SANDY", "SASHA", "XANDER"], "DOROTHY": ["DOT", "DOTTY", "DOLLY", "DORA"],
-    "ELIZABETH": ["LIZ", "LIZZY", "BETTY", "BETH", "ELIZA", "LISA"], "FRANCISCO": ["PACO", "PANCHO", "CISCO", "KIKO"],
-    "GIUSEPPE": ["BEPPE", "PEPPE", "PINO", "GEPPE"], "HELENA": ["LENA", "NELL", "HELEN", "NELLY"], "JAMES": ["JIM", "JIMMY", "JAMIE"],
-    "JOHANNES": ["HANS", "HANNES", "JOHANN", "JAN"], "KATHERINE": ["KATE", "KATHY", "KATIE", "KAY", "KIT"],
-    "MARGARET": ["PEGGY", "MAGGIE", "MEG", "GRETA", "MARGE"], "NICHOLAS": ["NICK", "KLAUS", "NICKY", "NICO"],
-    "RICHARD": ["DICK", "RICK", "RICH", "RICKY"], "ROBERT": ["BOB", "BOBBY", "ROB", "ROBBIE", "BERT"],
-    "THEODORE": ["TED", "TEDDY", "THEO"], "VICTORIA": ["VICKY", "TORI", "VICKI", "VIKKI"], "WILLIAM": ["BILL", "WILL", "BILLY", "WILLY", "LIAM"],
+    "ABIGAIL": ["ABBY", "GAIL"], "ALBERT": ["AL", "ALBIE"], "ALEXANDER": ["ALEX", "ALEC", "SANDY", "SASHA", "XANDER"], "ANDREW": ["ANDY", "DREW"], "ANTHONY": ["TONY", "ANTON"],
+    "ARTHUR": ["ART", "ARTIE"], "BARBARA": ["BARB", "BABS"], "BENJAMIN": ["BEN", "BENNY"], "CAROLINE": ["CARRIE", "CARO"], "CATHERINE": ["CATHY", "CAT"],
+    "CHARLES": ["CHARLIE", "CHUCK", "CHAS"], "CHRISTINA": ["TINA", "CHRISSY"], "CHRISTOPHER": ["CHRIS", "KIT", "TOPHER"], "DANIEL": ["DAN", "DANNY"], "DAVID": ["DAVE", "DAVY"],
+    "DOROTHY": ["DOT", "DOTTY", "DOLLY", "DORA"], "EDWARD": ["ED", "EDDIE", "NED"], "ELEANOR": ["ELLIE", "NORA"],
+    "ELIZABETH": ["LIZ", "LIZZY", "BETTY", "BETH", "ELIZA", "LISA"], "FRANCISCO": ["PACO", "PANCHO", "CISCO", "KIKO"], "FREDERICK": ["FRED", "FREDDY"],
+    "GEOFFREY": ["GEOFF"], "GIUSEPPE": ["BEPPE", "PEPPE", "PINO", "GEPPE"], "GREGORY": ["GREG"], "HELENA": ["LENA", "NELL", "HELEN", "NELLY"], "JACQUELINE": ["JACKIE"],
+    "JAMES": ["JIM", "JIMMY", "JAMIE"], "JENNIFER": ["JEN", "JENNY"], "JOHANNES": ["HANS", "HANNES", "JOHANN", "JAN"], "JONATHAN": ["JON", "JONNY"], "JOSEPH": ["JOE", "JOEY"],
+    "JOSHUA": ["JOSH"], "KATHERINE": ["KATE", "KATHY", "KATIE", "KAY", "KIT"], "KENNETH": ["KEN", "KENNY"], "LAWRENCE": ["LARRY", "LAURIE"],
+    "MARGARET": ["PEGGY", "MAGGIE", "MEG", "GRETA", "MARGE"], "MATTHEW": ["MATT"], "MICHAEL": ["MIKE", "MICK", "MICKEY"], "NATALIA": ["NATASHA", "TALIA"],
+    "NICHOLAS": ["NICK", "KLAUS", "NICKY", "NICO"], "PATRICIA": ["PAT", "PATTY", "TRICIA", "TRISH"], "PATRICK": ["PADDY", "RICKY"], "PETER": ["PETE"], "PHILIP": ["PHIL", "PIP"],
+    "REBECCA": ["BECKY", "BECCA"], "RICHARD": ["DICK", "RICK", "RICH", "RICKY"], "ROBERT": ["BOB", "BOBBY", "ROB", "ROBBIE", "BERT"], "RONALD": ["RON", "RONNIE"],
+    "SAMUEL": ["SAM", "SAMMY"], "STEPHEN": ["STEVE", "STEVIE"], "SUSANNA": ["SUE", "SUSAN", "SUSIE"], "THEODORE": ["TED", "TEDDY", "THEO"], "THOMAS": ["TOM", "TOMMY"],
+    "TIMOTHY": ["TIM", "TIMMY"], "VICTORIA": ["VICKY", "TORI", "VICKI", "VIKKI"], "VINCENT": ["VINCE", "VINNIE"], "WALTER": ["WALT", "WALLY"],
+    "WILLIAM": ["BILL", "WILL", "BILLY", "WILLY", "LIAM"], "ZACHARY": ["ZACH", "ZACK"],
 }
+# a short form of two names stands for the more frequent one, which comes last
 _FORMAL = {short: name for name, shorts in GIVEN.items() for short in [name, *shorts]}
 _VOWELS = set("AEIOU")
 
@@ -96,9 +113,9 @@ def _trade(word: str) -> str | None:
         if word == t:
             return t
     if len(word) >= 3:
-        for t in TRADES:
-            if word[0] == t[0] and len(word) < len(t) and _in_order(word, t):
-                return t
+        fits = [t for t in TRADES if word[0] == t[0] and len(word) < len(t) and _in_order(word, t)]
+        if fits:  # the one that starts most like it, then the shortest
+            return max(fits, key=lambda t: (len(os.path.commonprefix([word, t])), -len(t), t))
     if len(word) >= 7:
         for t in TRADES:
             if edits(word, t, 1) <= 1:
@@ -166,7 +183,7 @@ def _fits(x: tuple[str, str], y: tuple[str, str]) -> int | None:
         if k == "g":
             return 0 if a == b else None
         d = edits(a, b, 2)
-        return d if d <= (2 if min(len(a), len(b)) >= 5 else 1) else None
+        return d if d <= (2 if min(len(a), len(b)) >= 5 else 1 if min(len(a), len(b)) == 4 else 0) else None
     if k in full or m in full:
         (k, a), (m, b) = ((k, a), (m, b)) if m in full else ((m, b), (k, a))
         if k == "i":
@@ -206,11 +223,21 @@ def same(left: tuple[str, list], right: tuple[str, list]) -> bool:
         if any(k != "w" for k, _ in b):
             return False
         return min(edits(a[0][1], b[0][1] + b[1][1], 2), edits(a[0][1], b[1][1] + b[0][1], 2)) <= 2
-    if len(a) != len(b) or len(a) > 2:
-        return sorted(a) == sorted(b)
-    for order in (b, b[::-1]):
+    if len(a) != len(b):
+        return False
+    if len(a) > 2:  # what is equal takes itself out, the rest is tried in every order
+        b = list(b)
+        a = [x for x in a if not (x in b and not b.remove(x))]
+        if len(a) > 4:
+            return False
+        if not a:
+            return True
+        agreed = True
+    else:
+        agreed = False
+    for order in permutations(b):
         costs = [_fits(x, y) for x, y in zip(a, order)]
-        if None not in costs and sum(costs) <= 2 and any(x[0] == y[0] == "w" and c <= 1 for x, y, c in zip(a, order, costs)):
+        if None not in costs and sum(costs) <= 2 and (agreed or any(x[0] == y[0] == "w" and c <= 1 for x, y, c in zip(a, order, costs))):
             return True
     return False
 
@@ -226,13 +253,11 @@ def _read_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # a person's trade is left out of the key: their own business goes under it
             loose = "" if person or weak and len(words) == 2 and not trade else trade
             kinds = [k for k, _ in words]
-            full = [(k, w) for k, w in words if k == "w" and len(w) >= 4]
-            for k, w in full:
-                rest = list(words)
-                rest.remove((k, w))
-                initial = rest[0][1][0] if len(rest) == 1 else ""
-                if len(rest) == 1 and rest[0][0] == "g" or not rest or len(rest) == 1:
-                    out.append((name, "word", w, loose, initial, weak))
+            for k, w in words:
+                if k == "w" and len(w) >= 2:
+                    rest = list(words)
+                    rest.remove((k, w))
+                    out.append((name, "word", w, loose, "".join(sorted(x[1][0] for x in rest)), weak))
             if kinds == ["w", "w"]:
                 out.append((name, "joined", words[0][1] + words[1][1], trade, "", weak))
                 out.append((name, "joined", words[1][1] + words[0][1], trade, "", weak))
@@ -282,9 +307,18 @@ def walk(root: dict, word: str, most: int) -> list[str]:
     return found
 
 
+def _meeting(w: str, v: str) -> str:
+    """The first kind of shard that has both words."""
+    if w[:2] == v[:2]:
+        return "first"
+    if w[-2:] == v[-2:]:
+        return "last"
+    return "head" if w[0] == v[0] else "tail"
+
+
 def _trie_join(key: tuple, shard: pa.Table) -> pa.Table:
     """One trie of a shard against one part of the shard's words."""
-    side = key[0].as_py()
+    space, side = key[0].as_py(), key[1].as_py()
     asked = shard.column("query").to_pylist()
     words = shard.column("word").to_pylist()
     root = build_trie([w for w, q in zip(words, asked) if not q])
@@ -292,22 +326,24 @@ def _trie_join(key: tuple, shard: pa.Table) -> pa.Table:
         (w, v)
         for w, q in zip(words, asked) if q
         for v in walk(root, w, 1)
-        # a pair that also meets in a shard of first letters is taken there
-        if w < v and (side == "first" or w[:2] != v[:2])
+        # a pair that meets in several shards is taken in the first of them
+        if w < v and side == _meeting(w, v)
     ]
     a, b = zip(*pairs) if pairs else ((), ())
-    return pa.table({"word": pa.array(a, pa.string()), "near": pa.array(b, pa.string())})
+    return pa.table({"space": pa.array([space] * len(a), pa.string()), "word": pa.array(a, pa.string()), "near": pa.array(b, pa.string())})
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """``space, word, near``: all pairs of different words within one edit, both ways round.
 
-    A single edit can't touch both the first two and the last two letters of a word of five or
-    more, so one of the two shards has both. ``words`` has distinct ``space, word``.
+    A single edit can't touch both the first two and the last two letters of a word of six or
+    more, nor the first and the last letter of a shorter one, so some shard has both. ``words`` has distinct ``space, word``.
     """
-    sides = words.filter(F.length("word") <= LONG_WORD).select("space", "word", F.explode(F.array(
-        F.struct(F.lit("first").alias("side"), F.substring("word", 1, 2).alias("shard")),
-        F.struct(F.lit("last").alias("side"), F.expr("right(word, 2)").alias("shard")))).alias("s")).select("space", "word", "s.side", "s.shard")
+    shards = [("first", "left(word, 2)"), ("last", "right(word, 2)")]
+    short = [("head", "if(length(word) <= 5, left(word, 1), null)"), ("tail", "if(length(word) <= 5, right(word, 1), null)")]
+    sides = words.filter(F.length("word").between(SHORT_WORD, LONG_WORD)).select("space", "word", F.explode(F.array(*[
+        F.struct(F.lit(side).alias("side"), F.expr(shard).alias("shard")) for side, shard in shards + short])).alias("s")).select(
+        "space", "word", "s.side", "s.shard").filter("shard is not null")
     parts = sides.groupBy("space", "side", "shard").agg(F.ceil(F.count("*") / SHARD_WORDS).cast("int").alias("parts"))
     keyed = sides.join(parts, ["space", "side", "shard"])
     part = F.pmod(F.xxhash64("word"), F.col("parts")).cast("int")
@@ -315,11 +351,9 @@ def neighbours(words: DataFrame) -> DataFrame:
     own = keyed.withColumn("own", part)
     stored = own.select("space", "side", "shard", F.col("own").alias("part"), every.alias("turn"), "word", F.lit(False).alias("query"))
     asked = own.select("space", "side", "shard", every.alias("part"), F.col("own").alias("turn"), "word", F.lit(True).alias("query"))
-    found = None
-    for space in ("word", "joined"):
-        both = stored.unionAll(asked).filter(F.col("space") == space)
-        one = both.groupBy("side", "shard", "part", "turn").applyInArrow(_trie_join, "word string, near string").select(F.lit(space).alias("space"), "word", "near")
-        found = one if found is None else found.unionAll(one)
+    keys = ["space", "side", "shard", "part", "turn"]
+    tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a walk costs far more than its bytes tell: don't coalesce
+    found = stored.unionAll(asked).repartition(tasks, *keys).groupBy(*keys).applyInArrow(_trie_join, "space string, word string, near string")
     found = materialise(found, "near")
     return found.unionAll(found.select("space", F.col("near").alias("word"), F.col("word").alias("near")))
 
