@@ -35,27 +35,71 @@ MAX_BUCKETS = 512
 SALTS = 64
 
 
+def _cheapest(sizes: list[int], c: list[int], w: list[int], fee: int, many: bool) -> tuple[int, list[int]]:
+    """Least padding plus ``fee`` a bucket, and the ends of its buckets (as few or as ``many`` as tie).
+
+    A bucket of sizes j to i-1 pads sizes[i-1] (c[i] - c[j]) - (w[i] - w[j]): a line in sizes[i-1] for each j, of falling
+    slope, so the best j only moves on and each line is looked at once.
+    """
+    n, sign = len(sizes), -1 if many else 1
+    best, count, back = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    lines, head = [0], 0
+
+    def value(j: int, x: int) -> tuple[int, int]:
+        return best[j] + w[j] - x * c[j], sign * count[j]
+
+    def useless(i: int, j: int, k: int) -> bool:  # whether line j is nowhere under both i and k
+        bi, bj, bk = (best[t] + w[t] for t in (i, j, k))
+        left, right = (bj - bi) * (c[k] - c[j]), (bk - bj) * (c[j] - c[i])
+        return left > right or left == right and sign * count[j] >= max(sign * count[i], sign * count[k])
+
+    for i in range(1, n + 1):
+        x = sizes[i - 1]
+        while head + 1 < len(lines) and value(lines[head + 1], x) <= value(lines[head], x):
+            head += 1
+        j = lines[head]
+        best[i], count[i], back[i] = best[j] + w[j] - x * c[j] + x * c[i] - w[i] + fee, count[j] + 1, j
+        while len(lines) - head >= 2 and useless(lines[-2], lines[-1], i):
+            lines.pop()
+        lines.append(i)
+    ends, i = [], n
+    while i:
+        ends.append(i)
+        i = back[i]
+    return best[n], ends[::-1]
+
+
 def length_buckets(sizes: np.ndarray, counts: np.ndarray, most: int = MAX_BUCKETS) -> np.ndarray:
-    """The boundaries of at most ``most`` buckets of ascending ``sizes`` with the least total padding."""
+    """The boundaries of at most ``most`` buckets of ascending ``sizes`` with the least total padding.
+
+    Padding falls ever less with each further bucket, so a fee for each leads to any number of them: the fee is
+    searched, and each trial is linear in the sizes. Where no fee gives just ``most``, the best plans with fewer and with more
+    have a bucket of one inside a bucket of the other, and change over there without loss.
+    """
     n = len(sizes)
     if n <= most:
         return sizes
-    c, w = np.concatenate([[0], np.cumsum(counts)]).astype(float), np.concatenate([[0], np.cumsum(counts * sizes)]).astype(float)
-    best = sizes[np.arange(n)] * c[1:] - w[1:]  # one bucket over the first i sizes
-    choice = np.zeros((most, n), np.int32)
-    for k in range(1, most):
-        previous, best = best, best.copy()
-        for i in range(k, n):  # the last bucket holds sizes j+1 to i
-            cost = previous[k - 1:i] + sizes[i] * (c[i + 1] - c[k:i + 1]) - (w[i + 1] - w[k:i + 1])
-            j = int(np.argmin(cost))
-            best[i], choice[k, i] = cost[j], k - 1 + j
-    edges, i = [], n - 1
-    for k in range(most - 1, -1, -1):
-        edges.append(sizes[i])
-        if k == 0 or i < k:
-            break
-        i = choice[k, i]
-    return np.array(sorted(edges))
+    own = [int(x) for x in sizes]
+    c, w = [0], [0]
+    for x, k in zip(own, counts.tolist()):
+        c.append(c[-1] + int(k))
+        w.append(w[-1] + int(k) * x)
+    low, high = 0, own[-1] * c[-1] + 1  # at the low fee there are too many buckets, at the high one not
+    while high - low > 1:
+        fee = (low + high) // 2
+        if len(_cheapest(own, c, w, fee, False)[1]) <= most:
+            high = fee
+        else:
+            low = fee
+    few, many = _cheapest(own, c, w, high, False)[1], _cheapest(own, c, w, high, True)[1]
+    ends = few
+    if len(few) < most < len(many):
+        a, b, more = [0, *few], [0, *many], most - len(few)
+        at = next(i for i in range(len(few)) if a[i] <= b[i + more] and b[i + more + 1] <= a[i + 1])
+        ends = [*b[1:at + more + 2], *a[at + 2:]]
+    elif len(many) <= most:
+        ends = many
+    return np.array([own[i - 1] for i in ends])
 
 
 def plan(buckets: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[list[tuple], int]:
