@@ -5,9 +5,11 @@ Every text becomes the sorted list of its fields, each stripped to letters and d
 filter of bits that were set at least twice. A hash whose bits are all in it may be a repeat; only
 those rows are shuffled and grouped exactly. All others are emitted as single records.
 
-Size bounds: the filter has ``bits_per_row`` bits a row, at most ``max_filter_bytes`` (a
-parameter), so what the driver gathers and broadcasts is bounded. A fuller filter only lets more
-rows into the exact grouping; the result stays the same at every size.
+Size bounds: a filter has ``bits_per_row`` bits a row and at most ``max_filter_bytes`` (a
+parameter), so what the driver gathers and broadcasts is bounded. Where all rows would need more, the hashes are
+written in slices, each read once and given a filter of its own, so the filter is as sharp for
+billions of rows as for a few. Bit positions are shipped sorted, as compressed differences: about three bytes a
+row, where the exact grouping of all rows would ship twenty-four.
 
 Skew: groups are counted by an aggregate that combines before the shuffle; rows find their group
 by a join that adaptive execution splits where one group holds a large part of all rows.
@@ -53,8 +55,23 @@ def _positions(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return block | (u & mask), block | ((u >> np.uint64(22)) & mask)
 
 
+def _squeeze(positions: np.ndarray) -> bytes:
+    """Ascending positions as compressed differences, their low bytes first and their high bytes last."""
+    import zstandard
+
+    steps = np.diff(positions.astype(np.uint32), prepend=np.uint32(0))
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _positions_of(packed: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def _pack(block: int, once: np.ndarray, twice: np.ndarray) -> dict:
-    return {"block": block, "once": once.astype(np.uint32).tobytes(), "twice": twice.astype(np.uint32).tobytes()}
+    return {"block": block, "once": _squeeze(once), "twice": _squeeze(twice)}
 
 
 _SPARSE = pa.schema([("block", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
@@ -108,15 +125,19 @@ def _merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if current is not None:
                     yield done()
                 current, once, twice = block, np.zeros(1 << BLOCK_BITS, bool), np.zeros(1 << BLOCK_BITS, bool)
-            at = np.frombuffer(o, np.uint32)
+            at = _positions_of(o)
             twice[at] |= once[at]
             once[at] = True
-            twice[np.frombuffer(t, np.uint32)] = True
+            twice[_positions_of(t)] = True
     if current is not None:
         yield done()
 
 
-def possible_repeats(hashes: DataFrame, bits_per_row: int = 8, max_filter_bytes: int = 128 << 20) -> DataFrame:
+#: Bits of the filter for each row, and the bytes of a filter at most.
+BITS_PER_ROW, MAX_FILTER_BYTES = 8, 128 << 20
+
+
+def possible_repeats(hashes: DataFrame, bits_per_row: int = BITS_PER_ROW, max_filter_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
     """``hashes`` with ``maybe``: false only where a hash is certain to stand alone."""
     spark = hashes.sparkSession
     wanted = max(1, min(hashes.count() * bits_per_row, max_filter_bytes * 8) >> BLOCK_BITS)
@@ -139,13 +160,26 @@ def possible_repeats(hashes: DataFrame, bits_per_row: int = 8, max_filter_bytes:
     return hashes.mapInArrow(mark, "doc_key long, h1 long, h2 long, maybe boolean")
 
 
-def collapse(docs: DataFrame, key: str = "doc_key", text: str = "text") -> tuple[DataFrame, DataFrame]:
+def _marked(docs: DataFrame, key: str, text: str, max_filter_bytes: int) -> DataFrame:
+    """All hashes with ``maybe``, by one filter for each slice of them that a filter can serve."""
+    hashes = canonical_hashes(docs, key, text)
+    slices = -(-docs.count() * BITS_PER_ROW // (max_filter_bytes * 8))
+    if slices <= 1:
+        return materialise(possible_repeats(materialise(hashes, "canonical"), max_filter_bytes=max_filter_bytes), "marked")
+    sliced = materialise(hashes.withColumn("slice", F.pmod("h2", F.lit(slices)).cast("int")), "canonical", ["slice"])
+    out = None
+    for k in range(slices):
+        one = materialise(possible_repeats(sliced.filter(F.col("slice") == k).drop("slice"), max_filter_bytes=max_filter_bytes), "marked")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def collapse(docs: DataFrame, key: str = "doc_key", text: str = "text", max_filter_bytes: int = MAX_FILTER_BYTES) -> tuple[DataFrame, DataFrame]:
     """``(records, members)``: ``first_key, copies`` of every record, ``first_key, doc_key`` of repeats.
 
     ``members`` has the rows other than the smallest key of their record.
     """
-    hashes = materialise(canonical_hashes(docs, key, text), "canonical")
-    marked = materialise(possible_repeats(hashes), "marked")
+    marked = _marked(docs, key, text, max_filter_bytes)
     maybe = marked.filter("maybe")
     groups = maybe.groupBy("h1", "h2").agg(F.min("doc_key").alias("first_key"), F.count("*").alias("copies"))
     repeated = groups.filter("copies > 1")

@@ -121,6 +121,17 @@ def test_marginals_decide_between_rivals(spark):
     assert got[(1, 2)] > 0.5 and got[(2, 1)] > 0.5 and got[(1, 1)] < 0.5  # the pair of matches outweighs the best single one
 
 
+def test_duplicates_in_slices(spark):
+    rows = [(i, f"Field {i % 700}: x\nOther: {i % 7}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_key long, text string").repartition(3)
+    whole, parts = duplicates.collapse(df), duplicates.collapse(df, max_filter_bytes=1000)
+    for a, b in zip(whole, parts):
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    packed = np.array(sorted(random.Random(1).sample(range(1 << 22), 5000)), np.uint64)
+    assert (duplicates._positions_of(duplicates._squeeze(packed)) == packed).all() and len(duplicates._squeeze(packed)) < 12_000
+    assert len(duplicates._positions_of(duplicates._squeeze(packed[:0]))) == 0
+
+
 # ---- problem 4 ------------------------------------------------------------------------------------
 def _form_text(vendor, number, day="2025-03-02", total="10.00", extra="", goods="oak beam  2  5.00  10.00"):
     return f"{vendor}\nInvoice\nInvoice No.: {number}\nInvoice Date: {day}\n{goods}\nTotal: {total} EUR\n{extra}"
