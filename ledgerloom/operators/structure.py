@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ledgerloom.operators.textlines import KV_LINE, LIST_LINE, SEPARATOR, WS
 
@@ -14,11 +14,15 @@ KEY = r"^[\p{L}\p{N}_.-]+(?: [\p{L}\p{N}_.-]+){0,2}(?: \([^)]{1,12}\))?$"
 NOT_KV = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}|^\[?\d{4}-\d{2}-\d{2}|^\s*(?:at [\p{L}\p{N}_.$]+\(|Caused by:)|\.java:\d+"
 # Words of log severity.
 SEVERITY = "ERROR|WARN|WARNING|INFO|DEBUG|CRITICAL|FATAL"
-# Priority, weight and conflicts of block sources.
+# Priority and weight of block sources, and the sources that conflict beside equal ones.
 PRIORITY = {"table": 5, "tree_structure": 4, "context": 3, "kv": 2}
 WEIGHT = {"table": 1.0, "tree_structure": 0.9, "kv": 0.8, "context": 0.7}
-_CONFLICTS = {("table", "table"), ("kv", "kv"), ("context", "context"), ("tree_structure", "tree_structure"), ("table", "kv"), ("table", "tree_structure"),
-              ("tree_structure", "table"), ("kv", "table")}
+_RIVALS = ({"table", "kv"}, {"tree_structure", "context"})
+
+
+def conflicting(a: str, b: str) -> bool:
+    """Whether overlapping blocks of two sources can't both stay."""
+    return a == b or {a, b} in _RIVALS
 
 
 def line_patterns(lines: DataFrame) -> DataFrame:
@@ -133,18 +137,43 @@ def context_dominant(typed: DataFrame) -> DataFrame:
 
 
 def hierarchy(lines: DataFrame, group: list[str]) -> DataFrame:
-    """Parent of each line: the nearest line before it in its group with smaller ``depth``.
+    """``lines`` with ``parent_line``: the nearest line before each in its group with smaller ``depth``, however deep.
 
-    For each line and each smaller depth the last line of that depth is kept by a window, so there
-    is no join of lines with lines; depths are bounded by ``MAX_DEPTH`` and deeper ones count as it.
+    One pass over the sorted lines of each group with a stack of the open ancestors; null depths count as 0.
     """
-    w = Window.partitionBy(*group).orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    depth = F.least("depth", F.lit(MAX_DEPTH - 1))
-    last = [F.when(depth > k, F.last(F.when(depth == k, F.col("line_no")), ignorenulls=True).over(w)) for k in range(MAX_DEPTH - 1)]
-    return lines.withColumn("parent_line", F.greatest(*last))
+    columns = lines.columns
+    ordered = lines.repartition(*group).sortWithinPartitions(*group, "line_no")
+    at, depth = columns.index("line_no"), columns.index("depth")
+    keys = [columns.index(g) for g in group]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, stack = None, []
+        for batch in batches:
+            parents = []
+            for row in zip(*(batch.column(i).to_pylist() for i in (at, depth, *keys))):
+                if row[2:] != current:
+                    current, stack = row[2:], []
+                own = row[1] or 0
+                while stack and stack[-1][0] >= own:
+                    stack.pop()
+                parents.append(stack[-1][1] if stack else None)
+                stack.append((own, row[0]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parents, batch.column(at).type)], [*columns, "parent_line"])
 
+    return ordered.mapInArrow(run, T.StructType([*lines.schema.fields, T.StructField("parent_line", lines.schema["line_no"].dataType)]))
 
-MAX_DEPTH = 12
+
+def indent_depths(lines: DataFrame) -> DataFrame:
+    """``lines`` (the line model) with ``unit``, the greatest common divisor of the document's indents, and ``depth`` in it, the least depth being 0.
+
+    The different indents of a document are few; their divisor is folded from them as an expression.
+    """
+    gcd = "aggregate(sequence(1, 64), named_struct('a', acc, 'b', x), (s, i) -> if(s.b = 0, s, named_struct('a', s.b, 'b', s.a % s.b)), s -> s.a)"
+    full = lines.filter(~F.col("is_empty"))
+    per = full.groupBy("doc_id").agg(F.collect_set(F.when(F.col("indent") > 0, F.col("indent"))).alias("i"), F.min("indent").alias("least"))
+    unit = F.expr(f"greatest(1, aggregate(i, 0, (acc, x) -> {gcd}))")
+    per = per.select("doc_id", unit.alias("unit"), "least")
+    return full.join(per, "doc_id").withColumn("depth", F.floor(F.col("indent") / F.col("unit")) - F.floor(F.col("least") / F.col("unit"))).drop("least")
 
 
 def hierarchy_metrics(tree: DataFrame, group: list[str]) -> DataFrame:
@@ -180,7 +209,7 @@ def arbitrate(blocks: DataFrame, total: str = "total_lines") -> DataFrame:
                     if kept:
                         yield flush()
                     current, kept = row["doc_id"], []
-                rivals = [k for k in kept if k["end_line"] >= row["start_line"] and (k["source"], row["source"]) in _CONFLICTS]
+                rivals = [k for k in kept if k["end_line"] >= row["start_line"] and conflicting(k["source"], row["source"])]
                 if all(row["score"] >= k["score"] for k in rivals):
                     kept = [k for k in kept if k not in rivals] + [row]
         if kept:

@@ -21,14 +21,8 @@ def query(sql: str | None = None):
     return add
 
 
-# The labels the SQL was written for; the operators take all of ``resolve.ALIASES``.
-_SQL_ALIASES = {
-    "invoice_number": ["Invoice Number", "Invoice No.", "Inv. no", "Document ref", "Ref #"],
-    "po_number": ["PO Number"], "date": ["Invoice Date", "Order Date", "Payment Date"], "due_date": ["Due Date"],
-    "recipient": ["Bill To"], "tax_id": ["Tax ID"], "subtotal": ["Subtotal"], "tax": ["Tax"],
-    "total": ["Total Due", "Amount due", "Balance Payable", "Total", "Amount Paid"],
-}
-_ALIASES = ", ".join(f"('{a.lower()}', '{field}', {n})" for field, names in _SQL_ALIASES.items() for n, a in enumerate(names))
+# The labels are fixed values that both sides must share, so the SQL has the whole lists too.
+_ALIASES = ", ".join("('" + a.lower().replace("'", "''") + f"', '{field}', {n})" for field, names in resolve.ALIASES.items() for n, a in enumerate(names))
 _LABELLED = rf"""
 WITH raw AS (SELECT doc_key AS doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS parts FROM dedupe_docs WHERE text IS NOT NULL),
 ex AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS line_no FROM raw),

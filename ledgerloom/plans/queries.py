@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.operators.nested import elements, flat_table, triples
-from ledgerloom.plans import form_queries, record_queries, registry_queries, source_queries, text_queries, view_queries
+from ledgerloom.plans import engine_queries, form_queries, record_queries, registry_queries, source_queries, text_queries, view_queries
 from ledgerloom.operators.timestamps import capture_instants
 from ledgerloom.session import table
 
@@ -30,6 +30,6 @@ def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p5_found": p5_found, "p5_pairs": p5_pairs}
 SQL: dict[str, str] = {}
-for _module in (record_queries, registry_queries, text_queries, form_queries, source_queries, view_queries):
+for _module in (record_queries, registry_queries, text_queries, form_queries, source_queries, view_queries, engine_queries):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)

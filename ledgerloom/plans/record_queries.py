@@ -37,39 +37,41 @@ copies AS (
     CASE id % 10 WHEN 6 THEN recipient || ' Branch' ELSE recipient END AS recipient,
     CASE id % 10 WHEN 2 THEN cents + 1000 ELSE cents END AS cents, currency,
     CASE id % 10 WHEN 4 THEN CAST(date + INTERVAL 1 MONTH AS DATE) ELSE date END AS date, po_number
-  FROM inv WHERE id % 10 <= 6),
+  FROM inv WHERE id % 10 <= 7),
 records AS (
   SELECT id, invoice_number, vendor, recipient, cents, currency, date, po_number,
+    CASE WHEN id % 7 = 3 THEN 'purchase_order' ELSE 'invoice' END AS record_type, CASE WHEN id % 10 = 7 THEN id // 100000000 END AS tax,
     (cents // 100) || '.' || lpad(CAST(cents % 100 AS VARCHAR), 2, '0') AS amount
   FROM (SELECT * FROM inv UNION ALL SELECT * FROM copies)),
 canon AS (
   SELECT id, invoice_number AS raw_number, vendor AS raw_vendor, upper(regexp_replace(invoice_number, '[^A-Za-z0-9]', '', 'g')) AS number,
     upper(regexp_replace(lower(vendor), '( (ltd|limited))+$', '')) AS vendor, upper(recipient) AS recipient, cents, currency, date,
-    upper(regexp_replace(po_number, '[^A-Za-z0-9]', '', 'g')) AS po
+    upper(regexp_replace(po_number, '[^A-Za-z0-9]', '', 'g')) AS po, record_type, tax
   FROM records)"""
 _PAIRS = _INV + """,
 keys AS (
-  SELECT id, 'vendor_invnum' AS key_type, vendor || '|' || number AS key_value FROM canon UNION ALL
-  SELECT id, 'vendor_amount_curr', vendor || '|' || cents || '|' || currency FROM canon UNION ALL
-  SELECT id, 'po', po FROM canon UNION ALL
-  SELECT id, 'vendor_amount_month', vendor || '|' || cents || '|' || strftime(date, '%Y-%m') FROM canon UNION ALL
-  SELECT id, 'invnum', number FROM canon),
-pairs AS (SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM keys a JOIN keys b USING (key_type, key_value) WHERE a.id < b.id)"""
+  SELECT id, record_type, 'vendor_invnum' AS key_type, vendor || '|' || number AS key_value FROM canon UNION ALL
+  SELECT id, record_type, 'vendor_amount_curr', vendor || '|' || cents || '|' || currency FROM canon UNION ALL
+  SELECT id, record_type, 'po', po FROM canon UNION ALL
+  SELECT id, record_type, 'vendor_amount_month', vendor || '|' || cents || '|' || strftime(date, '%Y-%m') FROM canon UNION ALL
+  SELECT id, record_type, 'invnum', number FROM canon),
+pairs AS (SELECT DISTINCT a.id AS a_id, b.id AS b_id FROM keys a JOIN keys b USING (record_type, key_type, key_value) WHERE a.id < b.id)"""
 _FACTS = _PAIRS + """,
 facts AS (
   SELECT a_id, b_id, a.number = b.number AS invnum_match, a.vendor = b.vendor AS vendor_match, abs(a.cents - b.cents) <= 1 AS amount_match,
     a.currency = b.currency AS currency_match, a.po = b.po AS po_match, a.recipient <> b.recipient AS recipient_differs,
     abs(a.date - b.date) AS days_apart, strftime(a.date, '%Y-%m') = strftime(b.date, '%Y-%m') AS same_month,
-    a.raw_number = b.raw_number AND a.raw_vendor = b.raw_vendor AS surface_same
+    a.raw_number = b.raw_number AND a.raw_vendor = b.raw_vendor AS surface_same,
+    abs(a.cents - b.cents) <= 1 AND coalesce(a.tax <> b.tax, false) AS composition_differs
   FROM pairs JOIN canon a ON a_id = a.id JOIN canon b ON b_id = b.id),
 scored AS (
   SELECT *, 60 * invnum_match::INT + 20 * vendor_match::INT + 15 * amount_match::INT + 5 * currency_match::INT + 25 * po_match::INT + 10 * (days_apart <= 3)::INT AS positive,
-    -40 * (NOT amount_match)::INT - 60 * (NOT currency_match)::INT - 30 * recipient_differs::INT - 10 * (NOT same_month)::INT AS negative,
+    -40 * (NOT amount_match)::INT - 60 * (NOT currency_match)::INT - 30 * recipient_differs::INT - 20 * composition_differs::INT - 10 * (NOT same_month)::INT AS negative,
     invnum_match AND vendor_match AND amount_match AND currency_match AS provable
   FROM facts),
 typed AS (
   SELECT *, CASE
-    WHEN invnum_match AND vendor_match AND recipient_differs THEN 'IDENTITY_COLLISION'
+    WHEN invnum_match AND vendor_match AND (recipient_differs OR composition_differs) THEN 'IDENTITY_COLLISION'
     WHEN provable AND surface_same THEN 'EXACT_DUPLICATE' WHEN provable THEN 'NORMALIZED_DUPLICATE'
     WHEN invnum_match AND vendor_match AND NOT amount_match THEN 'CORRECTED_INVOICE'
     WHEN invnum_match AND amount_match AND currency_match AND NOT vendor_match THEN 'VENDOR_VARIANT_DUPLICATE'
@@ -79,14 +81,14 @@ typed AS (
 
 
 def invoices(spark: SparkSession, d: str) -> DataFrame:
-    """Records of orders and their second copies."""
+    """Records of orders and their second copies, of two types, some with another tax in the same total."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
     inv = o.join(c, F.col("o_custkey") == F.col("c_custkey")).selectExpr(
         "o_orderkey AS id", "concat('INV-', lpad(cast(o_orderkey AS string), 7, '0')) AS invoice_number",
         "concat('Supplier ', o_orderkey % 100, ' Ltd') AS vendor", "c_name AS recipient", "cast(round(o_totalprice * 100) AS bigint) AS cents",
         "CASE o_custkey % 3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS currency", "cast(o_orderdate AS date) AS date",
         "concat('PO-', o_orderkey - o_orderkey % 4) AS po_number")
-    copies = inv.filter("id % 10 <= 6").selectExpr(
+    copies = inv.filter("id % 10 <= 7").selectExpr(
         "id + 100000000 AS id",
         "CASE id % 10 WHEN 1 THEN lower(replace(invoice_number, '-', ' ')) WHEN 4 THEN concat('N', invoice_number) WHEN 5 THEN concat('S', invoice_number) ELSE invoice_number END AS invoice_number",
         "CASE id % 10 WHEN 1 THEN upper(replace(vendor, 'Ltd', 'Limited')) WHEN 3 THEN replace(vendor, 'Supplier', 'Vendor') ELSE vendor END AS vendor",
@@ -95,7 +97,8 @@ def invoices(spark: SparkSession, d: str) -> DataFrame:
         "CASE id % 10 WHEN 4 THEN add_months(date, 1) ELSE date END AS date", "po_number")
     return inv.unionByName(copies).selectExpr(
         "id", "invoice_number", "vendor", "recipient", "concat(cents div 100, '.', lpad(cast(cents % 100 AS string), 2, '0')) AS amount", "currency",
-        "cast(date AS string) AS date", "po_number", "'Invoice' AS document_type")
+        "cast(date AS string) AS date", "po_number", "'Invoice' AS document_type",
+        "CASE WHEN id % 7 = 3 THEN 'purchase_order' ELSE 'invoice' END AS record_type", "CASE WHEN id % 10 = 7 THEN concat(id div 100000000, '.00') END AS tax")
 
 
 def _evidence(spark, d):
@@ -332,8 +335,8 @@ def split_merge_groups(spark, d):
     return recordsets.split_groups(*_two_sides(spark, d))
 
 
-@query(_LINES + """SELECT 'A' AS side, doc_id, line, signature FROM a WHERE (doc_id, signature) NOT IN (SELECT (doc_id, signature) FROM b)
-UNION ALL SELECT 'B', doc_id, line, signature FROM b WHERE (doc_id, signature) NOT IN (SELECT (doc_id, signature) FROM a)""")
+@query(_LINES + """SELECT 'A' AS side, doc_id, line, signature FROM a ANTI JOIN b USING (doc_id, signature)
+UNION ALL SELECT 'B', doc_id, line, signature FROM b ANTI JOIN a USING (doc_id, signature)""")
 def unmatched_lines(spark, d):
     return recordsets.unmatched_lines(*_two_sides(spark, d))
 

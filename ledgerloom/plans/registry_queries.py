@@ -159,9 +159,9 @@ def report_ranked(spark, d):
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("severity", "kind"))), lambda x: x["kind"]), ",").alias("findings"), F.min("severity").alias("worst"))
 
 
-@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS requests, CAST(sum(greatest(1, ceil(length(props) / 100.0))) AS BIGINT) AS units FROM events GROUP BY 1, 2")
+@query("SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS requests, CAST(sum(greatest(1, ceil(length(props) / 100000.0))) AS BIGINT) AS units FROM events GROUP BY 1, 2")
 def usage_per_day(spark, d):
-    units = F.greatest(F.lit(1), F.ceil(F.length("props") / F.lit(100.0)))
+    units = F.greatest(F.lit(1), F.ceil(F.length("props") / F.lit(100_000.0)))
     return table(spark, d, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.count("*").alias("requests"), F.sum(units).cast("long").alias("units"))
 
 

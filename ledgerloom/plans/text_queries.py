@@ -217,13 +217,16 @@ def type_entropy(spark, d):
     return structure.entropy(typed, "doc_id", "kind", "n")
 
 
-_TREE = """ln AS (SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS line_no, l_partkey % 5 AS depth FROM lineitem),
+_TREE = """ln AS (SELECT l_orderkey AS doc_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS INT) AS line_no, l_partkey % 5 AS depth FROM lineitem
+  UNION ALL SELECT -1 - o_custkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT), row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) % 17 + o_orderkey % 2 FROM orders),
 tree AS (SELECT a.doc_id, a.line_no, a.depth, max(b.line_no) AS parent_line FROM ln a LEFT JOIN ln b ON a.doc_id = b.doc_id AND b.line_no < a.line_no AND b.depth < a.depth GROUP BY 1, 2, 3)"""
 
 
 def _tree(spark, d):
+    """Lines with depths from 0 to 4 (items) and to 17 (the orders of a customer)."""
     li = table(spark, d, "lineitem").selectExpr("l_orderkey AS doc_id", "row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS line_no", "l_partkey % 5 AS depth")
-    return structure.hierarchy(li, ["doc_id"])
+    o = table(spark, d, "orders").selectExpr("-1 - o_custkey AS doc_id", "row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS line_no", "o_orderkey % 2 AS odd")
+    return structure.hierarchy(li.unionAll(o.selectExpr("doc_id", "line_no", "line_no % 17 + odd AS depth")), ["doc_id"])
 
 
 @query("WITH " + _TREE + " SELECT doc_id, line_no, parent_line FROM tree")

@@ -21,7 +21,10 @@ def usage_by_day(stream: DataFrame, user: str = "user_id", at: str = "ts", delay
 
 
 def running_baseline(stream: DataFrame, key: str, value: str) -> DataFrame:
-    """Count, mean and extremes of ``value`` by ``key``, kept as state and updated with each batch."""
+    """Count, mean and extremes of ``value`` by ``key``, kept as state and updated with each batch.
+
+    A key's state is five numbers and is kept for good, so this is for keys that are bounded (kinds of events, vendors).
+    """
 
     def update(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, total, low, high = state.get if state.exists else (0, 0.0, float("inf"), float("-inf"))
