@@ -53,7 +53,19 @@ def _items(spark, d):
     return rows.select("doc_id", resolve.cents(F.col("last_number")).alias("cents"))
 
 
-@query()
+_CENTS = lambda x: f"CAST(regexp_replace(regexp_extract({x}, '^[-+]?[0-9.,]*[0-9]'), '[^0-9]', '', 'g') AS BIGINT) * CASE WHEN regexp_matches(regexp_extract({x}, '^[-+]?[0-9.,]*[0-9]'), '[.,][0-9][0-9]$') THEN 1 ELSE 100 END"
+_ITEM = r"(?s)^(.*?\S)((?:[\s\p{Z}]+[$£€¥]?\d[\d.,]*){2,})$"
+_SUMS = _LABELLED + rf""", ln AS (SELECT doc_key AS doc_id, unnest(string_split(text, chr(10))) AS line FROM dedupe_docs WHERE text IS NOT NULL),
+nb AS (SELECT doc_id, regexp_replace(regexp_extract(n, '{_ITEM}', 2), '^[\s\p{{Z}}]+', '') AS tail FROM (SELECT doc_id, regexp_replace(line, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') AS n FROM ln) WHERE regexp_matches(n, '{_ITEM}')),
+it AS (SELECT doc_id, list_last(regexp_split_to_array(tail, '[\s\p{{Z}}]+')) AS last FROM nb WHERE len(regexp_split_to_array(tail, '[\s\p{{Z}}]+')) >= 3),
+su AS (SELECT doc_id, sum({_CENTS("last")})::BIGINT AS items FROM it GROUP BY 1),
+st AS (SELECT doc_id, max({_CENTS("value")}) FILTER (WHERE field = 'subtotal') AS subtotal, max({_CENTS("value")}) FILTER (WHERE field = 'tax') AS tax, max({_CENTS("value")}) FILTER (WHERE field = 'total') AS total
+  FROM res WHERE field IN ('subtotal', 'tax', 'total') GROUP BY 1)
+SELECT doc_id, items, subtotal, tax, total, CASE WHEN total IS NULL OR coalesce(subtotal, items) IS NULL THEN 'UNVERIFIABLE'
+  WHEN abs(total - coalesce(subtotal, items) - coalesce(tax, 0)) <= 1 THEN 'CONFIRM' ELSE 'CONFLICT' END AS verdict FROM st LEFT JOIN su USING (doc_id)"""
+
+
+@query(_SUMS)
 def line_items_sum(spark, d):
     return resolve.document_sums(_resolved(spark, d), _items(spark, d)).select("doc_id", "items", "subtotal", "tax", "total", "verdict")
 
@@ -121,7 +133,9 @@ def cleanup_table_nulls(spark, d):
     return packaging.table_cells(_triples(spark, d)).groupBy("env_id").agg(F.count("*").alias("cells"), F.count("value").alias("filled"))
 
 
-@query()
+@query(_CELLS + r""", w AS (SELECT env_id, regexp_replace(row_path, '/\d+$', '') AS table_path, row_path, count(*) AS width FROM cells GROUP BY 1, 2, 3),
+k AS (SELECT env_id, table_path, width, count(*) AS n FROM w GROUP BY 1, 2, 3), m AS (SELECT env_id, table_path, arg_max(width, n * 100000 + width) AS modal FROM k GROUP BY 1, 2)
+SELECT env_id, row_path, width, modal FROM w JOIN m USING (env_id, table_path) WHERE width <> modal""")
 def ragged_rows(spark, d):
     return packaging.ragged_rows(packaging.table_cells(_triples(spark, d)))
 

@@ -98,14 +98,23 @@ def regex_signal_counts(spark, d):
     return textlines.signal_counts(form_lines(spark, d))
 
 
-@query()
+_METRICS = "SELECT t.doc_id, (r.separator * 1.0 + r.empty_line * 0.75 + r.list_marker * 0.5 + r.newline * 0.25 + b.paragraph_breaks * 0.75 + b.list_block_transitions * 0.5 + b.sentence_end_lines * 0.25) / t.total_lines AS strength, " \
+    "(b.paragraph_breaks + b.list_block_transitions) / t.total_lines AS pressure, 1 / (1 + greatest(q.squares / t.content_lines - power(t.content_chars / t.content_lines, 2), 0)) AS consistency " \
+    f"FROM ({SQL['text_signals']}) t JOIN ({SQL['boundary_signals'].replace(_LISTS, _DOCS)}) b USING (doc_id) JOIN ({SQL['regex_signal_counts'].replace(_FORMS, _DOCS)}) r USING (doc_id) " \
+    f"JOIN ({_DOCS} SELECT doc_id, sum(length(line) ** 2) FILTER (WHERE NOT is_empty) AS squares FROM lines GROUP BY 1) q USING (doc_id)"
+
+
+@query(f"SELECT doc_id, round(strength, 6) AS normalized_strength, round(pressure, 6) AS boundary_pressure, round(consistency, 6) AS consistency FROM ({_METRICS})")
 def structural_metrics(spark, d):
-    return textlines.structural_metrics(doc_lines(spark, d))
+    m = textlines.structural_metrics(doc_lines(spark, d))
+    return m.select("doc_id", *[F.round(c, 6).alias(c) for c in m.columns[1:]])
 
 
-@query()
+@query(f"""SELECT doc_id, round(strength / (strength + 1), 6) AS structure_intensity, round(pressure / (pressure + 1), 6) AS boundary_intensity, round(consistency, 6) AS stability,
+  round(CASE WHEN c <= 0 THEN 0 ELSE c / (c + 0.5) END, 6) AS chaos_index FROM (SELECT *, pressure / (pressure + 1) * (1 - consistency) AS c FROM ({_METRICS}))""")
 def feature_vector(spark, d):
-    return textlines.feature_vector(textlines.structural_metrics(doc_lines(spark, d)))
+    v = textlines.feature_vector(textlines.structural_metrics(doc_lines(spark, d)))
+    return v.select("doc_id", *[F.round(c, 6).alias(c) for c in v.columns[1:]])
 
 
 @query(_LISTS + _BLOCKS + r""", g AS (SELECT *, regexp_matches(normalized, '^(?:[-=_][\s\p{Z}]*){3,}$') AS is_sep,

@@ -54,7 +54,19 @@ def materialise(df: DataFrame, name: str, partition_by: list[str] | None = None)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    back = spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    back._stage = path
+    return back
+
+
+def discard(*stages: DataFrame) -> None:
+    """Deletes what ``materialise`` wrote for ``stages``, once nothing that is still to run reads them."""
+    for df in stages:
+        if path := getattr(df, "_stage", None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+            df._stage = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
