@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from ledgerloom.llm.graph import components
-from ledgerloom.session import materialise, shared_dir
+from ledgerloom.session import discard, materialise, shared_dir
 
 # Labels of the fields in English, German and French.
 LABELS = {
@@ -115,7 +115,8 @@ READ = {"vendor": "string", "letters": "string", "digits": "long", "day": "long"
 #: The parts of each field with the weight of their difference: numbers by amount, strings by edits, ``goods`` by being equal or not.
 FIELDS = {"number": {"digits": 16, "letters": 16}, "day": {"day": 64}, "vendor": {"vendor": 4}, "total": {"total": 4}, "goods": {"worth": 1, "goods": 64},
           "po": {"po_digits": 16, "po_letters": 16}, "payee": {"payee": 4}}
-#: Spaces of numbered documents.
+#: Spaces of numbered documents, and the parts that they compare.
+NUMBERED = ["vendor", "letters", "digits", "day", "total"]
 SPACES = {"a": ["number", "day", "vendor"], "b": ["number", "day", "total"], "n": ["number"]}
 #: Spaces that are stored: those, and the one in which documents that lost their number look for others.
 STORED_SPACES = {**SPACES, "v": ["vendor", "day"]}
@@ -124,9 +125,9 @@ LEVELS = [["vendor", "day", "total", "goods", "po", "payee"], ["vendor", "day",
           ["vendor", "day", "goods"], ["vendor", "day", "total", "po"], ["vendor", "day", "total"], ["vendor", "day", "po"]]
 TWINS = 3
 #: Near is two edits in the vendor, or two cents; cells are far wider, so a point is asked in hardly more than one.
-RADIUS, CELL_BITS, PIVOTS, RANGES = 8, 10, 3, 16
-#: Documents of the first batch among which the pivots are chosen.
-PIVOT_SAMPLE = 64
+RADIUS, CELL_BITS, PIVOTS, RANGES = 8, 10, 2, 16
+#: Documents of the first batch among which the pivots are chosen, and points on which the ranges are laid out.
+PIVOT_SAMPLE, RANGE_SAMPLE = 64, 20_000
 _MOST = 1 << 50
 _WEIGHTS = {p: w for f in FIELDS.values() for p, w in f.items()}
 
@@ -230,7 +231,7 @@ def measured(points: DataFrame, spaces: dict[str, list[str]], pivots: list[dict]
         mine, exists = [p for f in fields for p in FIELDS[f]], _has(fields)
         values = {p: p if p in mine else neutral[p] for p in READ}
         if space == "n":  # numbered documents that neither other space takes
-            values = {p: f"coalesce({p}, {neutral[p]})" for p in READ}
+            values = {p: f"coalesce({p}, {neutral[p]})" if p in NUMBERED else neutral[p] for p in READ}
             exists += f" and not ({_has(SPACES['a'])}) and not ({_has(SPACES['b'])})"
         if space == "v":  # kept whole, for the levels
             values = {p: p for p in READ}
@@ -246,35 +247,39 @@ def _cell(distance: str) -> str:
     return f"shiftright({distance}, if(space = 'v', 4, {CELL_BITS}))"
 
 
-_PLACE = ["space", *READ, "d1", "d2", "d3", "cell", "cell2"]
 
 
-def distance(most: int = RADIUS) -> str:
+def distance(parts: list[str], most: int = RADIUS) -> str:
     """The true distance to the parts with prefix ``h_``, or more than ``most`` if it is more."""
-    return " + ".join(_part_distance(p, p, f"h_{p}", most) for p in _WEIGHTS)
+    return " + ".join(_part_distance(p, p, f"h_{p}", most) for p in parts)
 
 
 def _within(radius: int) -> str:
-    return " and ".join(f"abs({d} - h_{d}) <= {radius}" for d in ("d1", "d2", "d3"))
+    return " and ".join(f"abs({d} - h_{d}) <= {radius}" for d in ("d1", "d2"))
 
 
 def asked_cells(asked: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``asked`` once for each cell within ``radius`` of its first two distances."""
-    around = lambda d: f"explode(array_distinct(array({_cell(f'{d} - {radius}')}, {_cell(f'{d} + {radius}')})))"
     own = [c for c in asked.columns if c not in ("cell", "cell2")]
-    return asked.selectExpr(*own, f"{around('d1')} as cell").selectExpr("*", f"{around('d2')} as cell2")
+    one = lambda x, y: f"struct({_cell(f'd1 {x} {radius}')} as cell, {_cell(f'd2 {y} {radius}')} as cell2)"
+    return asked.selectExpr(*own, f"inline(array_distinct(array({one('-', '-')}, {one('-', '+')}, {one('+', '-')}, {one('+', '+')})))")
+
+
+def near_cells(cells: DataFrame, stored: DataFrame, keep: list[str], radius: int = RADIUS, parts: list[str] = list(READ)) -> DataFrame:
+    """Each row of ``cells`` with the ``keep`` columns (prefix h_) of all rows of ``stored`` within ``radius``."""
+    other = stored.selectExpr("space", "cell", "cell2", *[f"{c} as h_{c}" for c in [*parts, "d1", "d2", *keep]])
+    pruned = cells.join(other, ["space", "cell", "cell2"]).filter(_within(radius))
+    return pruned.filter(f"{distance(parts, radius)} <= {radius}")
 
 
 def near_places(asked: DataFrame, stored: DataFrame, keep: list[str], radius: int = RADIUS) -> DataFrame:
-    """Each row of ``asked`` with the ``keep`` columns (prefix h_) of all rows of ``stored`` within ``radius``."""
-    other = stored.selectExpr("space", "cell", "cell2", *[f"{c} as h_{c}" for c in [*READ, "d1", "d2", "d3", *keep]])
-    pruned = asked_cells(asked, radius).join(other, ["space", "cell", "cell2"]).filter(_within(radius))
-    return pruned.filter(f"{distance(radius)} <= {radius}")
+    """The same for rows that don't stand in all their cells yet."""
+    return near_cells(asked_cells(asked, radius), stored, keep, radius)
 
 
 # ---- the history -----------------------------------------------------------------------------------
-#: Columns of the history beside place: the point's key, its document and that one's first batch, and whether it has no number, and no document but itself.
-_STORED = ["id", "document", "batch", "lost", "open"]
+#: Columns of the history: a place with its distances, the point's key, its document and that one's first batch, and whether it has no number, and no document but itself.
+_STORED = ["space", *READ, "d1", "d2", "id", "document", "batch", "lost", "open"]
 
 
 class History:
@@ -289,9 +294,10 @@ class History:
             self.pivots, self.bounds = [p.asDict() for p in kept["pivots"]], list(kept["bounds"])
 
     def start(self, points: DataFrame, ranges: int = RANGES) -> None:
-        """Fixes the pivots, and the bounds of the ranges by quantiles of the first batch's distances."""
+        """Fixes the pivots, and the bounds of the ranges by quantiles of the distances of a bounded sample."""
         self.pivots = choose_pivots(points)
-        cells = measured(points, STORED_SPACES, self.pivots).agg(F.percentile_approx("cell", [k / ranges for k in range(1, ranges)], 1000)).first()[0]
+        some = points.orderBy(F.xxhash64("id")).limit(RANGE_SAMPLE)
+        cells = measured(some, STORED_SPACES, self.pivots).agg(F.percentile_approx("cell", [k / ranges for k in range(1, ranges)], 1000)).first()[0]
         self.bounds = sorted(set(cells or []))
         shape = "pivots array<struct<" + ",".join(f"{c}:{k}" for c, k in READ.items()) + ">>, bounds array<long>"
         self.spark.createDataFrame([(self.pivots, self.bounds)], shape).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/pivots")
@@ -306,35 +312,48 @@ class History:
         if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
             return None
         wanted = [r[0] for r in asked.selectExpr(f"explode(array({_cell(f'd1 - {RADIUS}')}, {_cell(f'd1 + {RADIUS}')})) as c").select(self.range_of(F.col("c"))).distinct().collect()]
-        return self.spark.read.parquet(f"{self.path}/places").filter(F.col("range").isin(wanted) if wanted else F.lit(False))
+        places = self.spark.read.parquet(f"{self.path}/places").filter(F.col("range").isin(wanted) if wanted else F.lit(False))
+        return places.selectExpr("*", f"{_cell('d1')} as cell", f"{_cell('d2')} as cell2")
 
     def append(self, places: DataFrame) -> None:
-        own = places.select(*_PLACE, *_STORED).withColumn("range", self.range_of(F.col("cell")))
+        own = places.withColumn("range", self.range_of(F.expr(_cell("d1")))).select("range", *_STORED)
         own.repartition("range").sortWithinPartitions("range", "space", "d1").write.partitionBy("range").mode("append").parquet(f"{self.path}/places")
 
 
-def _folded(places: DataFrame, *of: Column) -> DataFrame:
+def _folded(places: DataFrame, *of: Column, parts: list[str] = list(READ)) -> DataFrame:
     """One row for each place of a space with ``of`` its rows."""
-    return places.groupBy("space", *READ).agg(*of, *[F.min(c).alias(c) for c in ("d1", "d2", "d3", "cell", "cell2")])
+    return places.groupBy("space", *parts).agg(*of, *[F.min(c).alias(c) for c in ("d1", "d2", "cell", "cell2")])
 
 
 def link_numbered(new: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """``id, document, batch`` of every numbered point of ``new`` (measured in ``SPACES``), near ones of it and of ``stored`` joined."""
-    other = _folded(new, F.min("id").alias("document"), F.min("batch").alias("batch"))
-    if stored is not None:
-        other = other.unionByName(stored.filter(F.col("space").isin(*SPACES) & ~F.col("lost")).select(other.columns))
-    near = materialise(near_places(new.drop("batch"), other, ["document", "batch"]).filter("id <> h_document").select("id", "h_document", "h_batch").distinct(), "near")
+    """``id, document, since`` of the points of ``new`` (measured in ``SPACES``) that are near others of it or of ``stored``.
+
+    Most points share no cell with any other; only those that do are carried on with all their parts.
+    """
+    cells = ["space", "cell", "cell2"]
+    asked = asked_cells(new.selectExpr("id", "batch", "space", *NUMBERED, "d1", "d2"))
+    old = None if stored is None else stored.filter(F.col("space").isin(*SPACES) & ~F.col("lost")).select(*cells, *NUMBERED, "d1", "d2", "document", "batch")
+    held = asked.select(*cells, "id")
+    if old is not None:
+        held = held.unionAll(old.select(*cells, F.col("document").alias("id")))
+    met = held.groupBy(*cells).agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a <> b").select(*cells)
+    mine = materialise(asked.join(met, cells, "left_semi"), "asked")
+    own = mine.filter(f"cell = {_cell('d1')} and cell2 = {_cell('d2')}")
+    other = _folded(own, F.min("id").alias("document"), F.min("batch").alias("batch"), parts=NUMBERED)
+    if old is not None:
+        other = other.unionByName(old.join(met, cells, "left_semi").select(other.columns))
+    near = near_cells(mine, other, ["document", "batch"], parts=NUMBERED).filter("id <> h_document")
+    near = materialise(near.select("id", "batch", "h_document", "h_batch").distinct(), "near")
     linked = components(near.select(F.col("id").alias("a"), F.col("h_document").alias("b")))
-    nodes = new.select("id", "batch").unionAll(near.select("h_document", "h_batch")).distinct()
-    known = nodes.join(linked, F.col("id") == F.col("node"), "left").select("id", "batch", F.coalesce("component", "id").alias("document"))
-    first = known.groupBy("document").agg(F.min("batch").alias("first_batch"))
-    return new.select("id").distinct().join(known.select("id", "document").distinct(), "id").join(first, "document").select("id", "document", F.col("first_batch").alias("batch"))
+    nodes = near.select("id", "batch").unionAll(near.select("h_document", "h_batch")).groupBy("id").agg(F.min("batch").alias("batch"))
+    known = nodes.join(linked, F.col("id") == F.col("node")).select("id", "batch", F.col("component").alias("document"))
+    return known.select("id", "document").join(known.groupBy("document").agg(F.min("batch").alias("since")), "document")
 
 
 def _vicinity(places: DataFrame, asked: DataFrame) -> DataFrame:
     """The places of the space of vendor and day that one asked is near, each once and whole."""
-    own = asked_cells(asked.filter("space = 'v'").select("space", "vendor", "day", "d1", "d2", "d3").distinct())
-    own = own.selectExpr(*[f"{c} as h_{c}" for c in ("cell", "cell2", "vendor", "day", "d1", "d2", "d3")])
+    own = asked_cells(asked.filter("space = 'v'").select("space", "vendor", "day", "d1", "d2").distinct())
+    own = own.selectExpr(*[f"{c} as h_{c}" for c in ("cell", "cell2", "vendor", "day", "d1", "d2")])
     true = " + ".join(_part_distance(p, p, f"h_{p}", RADIUS) for p in ("vendor", "day"))
     return places.filter("space = 'v'").join(own, F.expr(f"cell = h_cell and cell2 = h_cell2 and {_within(RADIUS)} and {true} <= {RADIUS}"), "left_semi")
 
@@ -387,15 +406,15 @@ def check_batch(history: str, batch: DataFrame, ranges: int = RANGES) -> DataFra
         store.start(points, ranges)
     own = points.withColumn("lost", F.col("letters").isNull())
     table = materialise(measured(own, STORED_SPACES, store.pivots), "distances")
-    stored = store.reached(table)
-    numbered = materialise(link_numbered(table.filter("not lost and space <> 'v'").select(*_PLACE, "id", "batch"), stored), "numbered")
-    placed = own.filter("not lost").join(numbered.select("id", "document", F.col("batch").alias("since")), "id").select("id", "batch", "document", "since", *READ)
-    placed = materialise(placed, "placed")
+    stored, stages = store.reached(table), []
+    numbered = materialise(link_numbered(table.filter("not lost and space <> 'v'"), stored), "numbered")
+    # every numbered point with its document, in the space of vendor and day
+    here = table.filter("not lost and space = 'v'").withColumnRenamed("batch", "own_batch").join(numbered, "id", "left").withColumns(
+        {"document": F.coalesce("document", "id"), "batch": F.coalesce("since", "own_batch")})
 
     # those without number: near numbered documents of the batch and of the history
     lost = own.filter("lost and vendor is not null and day is not null")
     lost_places = table.filter("lost")
-    here = measured(placed.select("id", "document", F.col("since").alias("batch"), *READ), {"v": STORED_SPACES["v"]}, store.pivots)
     inside = _vicinity(here, lost_places).select("document", "batch", *READ)
     others = lost.select("id", F.col("id").alias("document"), "batch", *READ)
     extra = None
@@ -404,17 +423,21 @@ def check_batch(history: str, batch: DataFrame, ranges: int = RANGES) -> DataFra
         inside = inside.unionByName(full.filter("not lost").select("document", "batch", *READ))
         others = others.unionByName(full.filter("lost").select("id", "document", "batch", *READ))
         # and the history's own, so far alone, for which the batch has the number
-        alone = _vicinity(stored.filter("lost"), table.filter("not lost"))
+        beside = materialise(_vicinity(here, stored.filter("lost and open")), "beside")
+        alone = _vicinity(stored.filter("lost"), beside)
         alone = alone.groupBy("id", *READ).agg(F.min("document").alias("document"), F.min("batch").alias("batch"), F.min("open").alias("open")).filter("open")
-        extra = fit_lost(alone, placed.select("document", F.col("since").alias("batch"), *READ), store.pivots).filter("fit is not null")
+        extra = fit_lost(alone, beside.select("document", "batch", *READ), store.pivots).filter("fit is not null")
+        stages = [beside]
         extra = materialise(extra.join(alone.select("id", "document", F.col("batch").alias("own_batch"), *READ), "id"), "extra")
+        stages.append(extra)
     fits = fit_lost(lost, inside, store.pivots)
     twins = twin_lost(lost, others, store.pivots)
     settled = lost.join(fits, "id", "left").join(twins, "id", "left").select(
         "id", "batch", *READ, F.coalesce("fit", F.when(F.col("any"), F.col("id")), "twin", "id").alias("document"),
         F.least("batch", F.when(F.col("fit").isNotNull(), F.col("since")).when(F.col("any").isNull(), F.col("twin_since"))).alias("since"), F.col("any").isNull().alias("open"))
     settled = materialise(settled, "settled")
-    everything = placed.select("id", "document", "since").unionAll(settled.select("id", "document", "since"))
+    placed = own.filter("not lost").select("id", "batch").join(numbered, "id", "left").select("id", F.coalesce("document", "id").alias("document"), F.coalesce("since", "batch").alias("since"))
+    everything = placed.unionAll(settled.select("id", "document", "since"))
     groups = everything.select("document", F.col("id").alias("key"), "since")
     if extra is not None:
         groups = groups.unionAll(extra.select(F.col("fit").alias("document"), F.col("document").alias("key"), F.col("own_batch").alias("since")))
@@ -426,12 +449,13 @@ def check_batch(history: str, batch: DataFrame, ranges: int = RANGES) -> DataFra
     final = known.select("id", F.col("prior_key").alias("document"), F.col("prior_batch").alias("batch"))
     opened = settled.select("id", "open")
     fresh = table.drop("batch").join(final, "id").join(opened, "id", "left").withColumn("open", F.coalesce("open", F.lit(False)))
-    fresh = fresh.select(*_PLACE, *_STORED)
+    fresh = fresh.select(*_STORED)
     if extra is not None:
         closed = measured(extra.select("id", F.col("fit").alias("document"), F.col("own_batch").alias("batch"), F.lit(True).alias("lost"), F.lit(False).alias("open"), *READ),
                           {"v": STORED_SPACES["v"]}, store.pivots)
-        fresh = fresh.unionByName(closed.select(*_PLACE, *_STORED))
+        fresh = fresh.unionByName(closed.select(*_STORED))
     store.append(fresh)
+    discard(rows, points, table, numbered, settled, known, *stages)
     return found
 
 
