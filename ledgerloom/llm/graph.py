@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ledgerloom.session import materialise
+from ledgerloom.session import discard, materialise
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -12,7 +12,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Large-star and small-star rounds: each node links its neighbours to its smallest neighbour, so
     a component that holds a third of all nodes never becomes one row or one task, and the number
-    of rounds grows with the logarithm of its size. Every round is written to the shared folder.
+    of rounds grows with the logarithm of its size. Every round is written to the shared folder, and the one before deleted.
     """
     links = materialise(edges.select("a", "b").filter("a <> b").distinct(), "links")
     if links.isEmpty():
@@ -27,7 +27,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         down = materialise(down, "star")
         low = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        links = materialise(small.filter("a <> b").distinct(), "links")
+        old, links = links, materialise(small.filter("a <> b").distinct(), "links")
+        discard(old, down)
         state = links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(state) == before:
             break

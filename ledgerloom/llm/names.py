@@ -106,6 +106,31 @@ def edits(a: str, b: str, most: int = 2) -> int:
     return min(one[n], far)
 
 
+def _shorter(word: str) -> list[str]:
+    """A word and what is left of it without any one letter; words within one edit have a form in common."""
+    return [word, *(word[:i] + word[i + 1:] for i in range(len(word)))]
+
+
+def _by_form(words) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for w in words:
+        for form in _shorter(w):
+            out.setdefault(form, []).append(w)
+    return out
+
+
+_TRADE_FORMS, _GIVEN_FORMS = _by_form(TRADES), _by_form(GIVEN)
+_LONGEST = max(map(len, [*TRADES, *GIVEN])) + 1
+
+
+def _nearly(word: str, forms: dict[str, list[str]]) -> str | None:
+    """The word of a fixed list within one edit, the first of the list if there are several."""
+    if len(word) > _LONGEST:
+        return None
+    near = {t for form in _shorter(word) for t in forms.get(form, ()) if edits(word, t, 1) <= 1}
+    return min(near) if near else None
+
+
 def _trade(word: str) -> str | None:
     if word in TRADE_FORMS:
         return TRADE_FORMS[word]
@@ -116,21 +141,13 @@ def _trade(word: str) -> str | None:
         fits = [t for t in TRADES if word[0] == t[0] and len(word) < len(t) and _in_order(word, t)]
         if fits:  # the one that starts most like it, then the shortest
             return max(fits, key=lambda t: (len(os.path.commonprefix([word, t])), -len(t), t))
-    if len(word) >= 7:
-        for t in TRADES:
-            if edits(word, t, 1) <= 1:
-                return t
-    return None
+    return _nearly(word, _TRADE_FORMS) if len(word) >= 7 else None
 
 
 def _given(word: str) -> str | None:
     if word in _FORMAL:
         return _FORMAL[word]
-    if len(word) >= 4:
-        for name in GIVEN:
-            if abs(len(name) - len(word)) <= 1 and edits(word, name, 1) <= 1:
-                return name
-    return None
+    return _nearly(word, _GIVEN_FORMS) if len(word) >= 4 else None
 
 
 def read(name: str) -> tuple[str, list[tuple[str, str]]]:
