@@ -54,8 +54,7 @@ def document_machine(spark, d):
 
 @query()
 def document_envelopes(spark, d):
-    docs, segs = table(spark, d, "dedupe_docs"), _segments(spark, d)
-    return engine.envelopes(segs, engine.report(segs, docs, "doc_key"), docs, "received_at", "doc_key")
+    return engine.envelopes(_segments(spark, d), None, table(spark, d, "dedupe_docs"), "received_at", "doc_key")
 
 
 @query("""SELECT env_id, CASE WHEN version IS NULL THEN 'version' WHEN event_type IS NULL THEN 'event_type' WHEN source_id IS NULL OR source_id = '' THEN 'source_id'

@@ -83,6 +83,17 @@ def test_documents(spark):
     assert engine.segments(docs.limit(0)).count() == 0
 
 
+def test_envelopes_read_texts_once(spark):
+    """The same envelopes from one pass, with cells longer than 131,072 characters, at which the csv reader stopped."""
+    docs = spark.createDataFrame([(1, "Invoice Number: A-1\nTotal: 3"), (2, None), (3, "a,b\n" + "x" * 140_000 + ",1"), (4, "a: 1\nb: 2\n\nc: 3\nd: 4")], "doc_id long, text string")
+    docs = docs.withColumn("at", F.lit("2025-01-01 00:00:00").cast("timestamp"))
+    segs = engine.segments(docs)
+    once = engine.envelopes(segs, None, docs, "at")
+    assert sorted(once.collect()) == sorted(engine.envelopes(segs, engine.report(segs, docs), docs, "at").collect())
+    assert {r.doc_id for r in once.collect()} == {1, 3, 4}
+    assert once._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
 def test_views(spark):
     text = "Acme Ovens Ltd\nTax invoice\nRechnungsnummer: A-1\nInvoice Date: 2 May 2025\noak beam  2  5.00  10.00\nnut  1  2.50  2.50\nSubtotal: 12.50\nTax: 2.50\nTotal Due: 15.00 EUR"
     docs = spark.createDataFrame([(1, text), (2, text.replace("15.00 EUR", "16.00 EUR")), (3, None), (4, text + "\nTotal Due: 9.00 EUR"), (5, "Invoice Number,Total\nB-7,3.00")], "doc_key long, text string")
