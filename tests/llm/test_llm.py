@@ -1,5 +1,6 @@
 """The llm operators against brute force on small tables, with their edge cases."""
 
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -98,6 +99,25 @@ def test_matching_without_a_rare_token(spark, limits):
     assert got == {(2 * i, 2 * i + 1) for i in range(1, 31)} | {(101, 102)}
 
 
+def test_candidates_by_a_near_bound(spark):
+    """All pairs at or over the prior are candidates, and texts of one seller with nothing else in common aren't."""
+    text = lambda seller, item, n, total: f"{seller}\nInvoice\nInvoice Date: 2025-0{n % 9 + 1}-11\nBill To: Jekaru {'XYZVW'[n % 5]}amipos\noak {item}  {n}  x {n}.25\nTotal: {total}.00 EUR"
+    names, items = ("Gamipos Mobaru", "Gamipso Mobaru", "Tulemar Vikosan"), ("fatikol", "fatikul", "rogelen")
+    rows = [("text", "LR"[i % 2], i, None, text(names[i % 3], items[i // 2 % 3], i % 7 + 1, 40 + i % 11)) for i in range(40)]
+    schema = "domain string, side string, id long, rec struct<party:string>, text string"
+    read = spark.createDataFrame(rows, schema).mapInArrow(matching._read_records, matching._READ_DDL)
+    own, pairs = matching.candidates(read)
+    own, pairs = own.collect(), {(r.id_l, r.id_r): r.prior for r in pairs.collect()}
+    recs = {(r.side, r.id): json.loads(r.rec) | {"h": set(r.h)} for r in own}
+    prior = next(iter(pairs.values()))
+    odds = {(i, j): matching.log_odds(a, b) for (s, i), a in recs.items() if s == "L" for (t, j), b in recs.items() if t == "R"}
+    assert {k for k, x in odds.items() if x >= prior} <= set(pairs)
+    far = [text("Gamipos Mobaru", "xelodim", 3, 41).replace("Jekaru Vamipos", "Rovidet Huxanol"), text("Gamipos Mobaru", "buyeban", 4, 977).replace("2025-05", "2027-05")]
+    other = rows + [("text", "LR"[i], 100 + i, None, x) for i, x in enumerate(far)]
+    pairs = matching.candidates(spark.createDataFrame(other, schema).mapInArrow(matching._read_records, matching._READ_DDL))[1]
+    assert pairs.filter("id_l = 100 and id_r = 101").count() == 0
+
+
 def test_marginals_are_exact_on_a_tree(spark):
     """One left record with two candidates, one of which has a rival: exact marginals by enumeration."""
     odds = {(1, 1): 1.0, (1, 2): 0.5, (2, 2): -0.3}
