@@ -118,6 +118,41 @@ def test_candidates_by_a_near_bound(spark):
     assert pairs.filter("id_l = 100 and id_r = 101").count() == 0
 
 
+def test_matching_is_the_same_by_evidence_and_over_all_pairs(spark):
+    """No word, amount or line in common: two edits in each word, initials, words without vowels or run together, words of over 16 letters, fields missing."""
+    pairs = [("Gamipos Jekaru", "Gamxpxs Jxkxru", "vupicutal", "vxpxcutal", "Horudalen", "Hxrxdalen"), ("Mobaru Tulemar", "M. Txlxmar", "rogelenik", "rxgxlenik", None, "Vikosan"),
+             ("Dupepam Moyizam", "DPPM MYZM", "fatikolum", "fxtxkolum", "Rovidet", "Rxvxdet"), ("Huxanol Lefasu", "Huxxnxllefasu", "teladumos", "txlxdumos", None, None),
+             ("Vocopularistenubaro Kixadar", "Vocxpularistxnubaro Kxxxdar", "bexumanatoripelaside", "bexumantaoripelsaide", "Zepucas", "Zepuacs"), ("O'Zibulam", "Zibulam's", "jopamiruk", "jpoamriuk", None, "Xan")]
+    rows = []
+    for i, (a, b, g, h, p, q) in enumerate(pairs * 2):
+        day = f"2025-0{i % 9 + 1}-03"
+        rows += [_rel(2 * i, "L", a, None, day, p, g), _rel(2 * i + 1, "R", b, 10.0 + i, None if i > 8 else day, q, h)]
+    rows += [_rel(1000 + i, "LR"[i % 2], "Sinebis Kogasi", 50.0 + i, "2025-05-05", "Sagalas", None) for i in range(20)]
+    schema = "domain string, side string, id long, rec struct<party:string,amount:double,currency:string,paid_on:string,city:string,memo:string,counterparty:string,expected_amount:double,due_on:string,town:string,description:string>, text string"
+    own = [("rel", "L", r[2][0], (*r[2][1:], None, None, None, None, None), None) if r[2] else ("rel", "R", r[3][0], (None, None, r[3][3], None, None, None, r[3][1], r[3][2], *r[3][4:]), None) for r in rows]
+    read = spark.createDataFrame(own, schema).mapInArrow(matching._read_records, matching._READ_DDL)
+    some, every = ({(r.id_l, r.id_r) for r in matching.candidates(read, every=n)[1].collect()} for n in (0, 10**12))
+    recs = {(r.side, r.id): json.loads(r.rec) | {"h": set(r.h)} for r in matching.candidates(read)[0].collect()}
+    least = np.log(len(recs) + 1) + matching.LEAST
+    weighty = {p for p in every if matching.log_odds(recs["L", p[0]], recs["R", p[1]]) > least}
+    assert weighty <= some <= every and {(2 * i, 2 * i + 1) for i in range(len(pairs))} <= weighty
+
+
+def test_words_that_are_alike_share_a_form():
+    rnd, every = random.Random(3), {g + k: range(80) for g in "12gl" for k in "wncpoj"}
+    for _ in range(4000):
+        x = "".join(rnd.choice("ABEO") for _ in range(rnd.choice([1, 2, 4, 5, 6, 7, 12, 15, 16, 17, 18, 19, 30])))
+        y = list(x)
+        for _ in range(2):
+            i = rnd.randrange(len(y) + 1)
+            y[i:i + rnd.randrange(3)] = rnd.choice(["", "A", y[i:i + 2][::-1]])
+        y = "".join(y) if rnd.random() < 0.7 else "".join(c for c in x if c == "B") if rnd.random() < 0.5 else x[:3]
+        group = rnd.choice("12gl")
+        a, b = (group + (rnd.choice("wncpoj") if group in "12" else "w") + w for w in rnd.sample([x, y], 2))
+        if a[2:] and b[2:] and matching._alike(a, b):
+            assert set(matching._forms("L", a, every)) & set(matching._forms("R", b, every)), (a, b)
+
+
 def test_marginals_are_exact_on_a_tree(spark):
     """One left record with two candidates, one of which has a rival: exact marginals by enumeration."""
     odds = {(1, 1): 1.0, (1, 2): 0.5, (2, 2): -0.3}
