@@ -209,6 +209,26 @@ def test_history(spark, tmp_path):
     assert seen == want
 
 
+def test_stars_are_done_after_one_round(spark, monkeypatch):
+    """A round that only confirms what the one before found isn't run."""
+    rounds, real = [], graph.materialise
+    monkeypatch.setattr(graph, "materialise", lambda df, name: rounds.append(name) or real(df, name))
+    got = graph.components(spark.createDataFrame([(5, 2), (9, 5), (7, 8)], "a long, b long")).collect()
+    assert sorted((r.node, r.component) for r in got) == [(2, 2), (5, 2), (7, 7), (8, 7), (9, 2)]
+    assert rounds.count("star") == 1
+
+
+def test_last_batch_is_not_stored(spark, monkeypatch):
+    """Nothing reads the history after the last batches, and the joins of fits and twins are run one at a time."""
+    stored, stages, append, real = [], [], history.History.append, history.materialise
+    monkeypatch.setattr(history.History, "append", lambda self, places: stored.append(1) or append(self, places))
+    monkeypatch.setattr(history, "materialise", lambda df, name: stages.append(name) or real(df, name))
+    texts = [(1, 0, _form_text("Acme", "N1")), (2, 1, _form_text("Acme", "N1")), (3, 2, _form_text("Acme", "N1")), (4, 2, _form_text("Other", "N2"))]
+    got = history.resubmissions(spark.createDataFrame(texts, "doc_key long, batch_no int, text string")).collect()
+    assert sorted((r.prior_key, r.doc_key) for r in got) == [(1, 2), (1, 3)]
+    assert len(stored) == 1 and stages.count("fits") == stages.count("twins") == 2
+
+
 def test_lost_number_with_one_fit(spark):
     a = _form_text("Acme Ovens Ltd", "INV-105/7")
     docs = spark.createDataFrame([(1, 0, a), (2, 1, a.replace("Invoice No.: INV-105/7\n", ""))], "doc_key long, batch_no int, text string")
