@@ -138,6 +138,17 @@ def test_matching_is_the_same_by_evidence_and_over_all_pairs(spark):
     assert weighty <= some <= every and {(2 * i, 2 * i + 1) for i in range(len(pairs))} <= weighty
 
 
+@pytest.mark.parametrize("day,want", [("2025-08-01", 0), ("2025-03-02", 1)])
+def test_all_kinds_of_evidence_of_a_pair_count(spark, monkeypatch, day, want):
+    """Goods and place alone have no weight here; with the day they have one."""
+    met, real = [], matching.materialise
+    monkeypatch.setattr(matching, "LEAST", 5.0)
+    monkeypatch.setattr(matching, "materialise", lambda df, name: met.append((name, real(df, name))) or met[-1][1])
+    rows = [_rel(1, "L", "Zorum Bekali", 100.0, "2025-03-02", "Bramville", "walnut cabinets"), _rel(2, "R", "Hoxin Furadal", 900.0, day, "Bramville", "walnut cabinets")]
+    matching.deals(spark.createDataFrame(rows, _REL), spark.createDataFrame([], "recon_id long, a_id long, b_id long, source_a string, source_b string"), every=0)
+    assert [df.count() for name, df in met if name == "found"] == [want]
+
+
 def test_words_that_are_alike_share_a_form():
     rnd, every = random.Random(3), {g + k: range(80) for g in "12gl" for k in "wncpoj"}
     for _ in range(4000):
