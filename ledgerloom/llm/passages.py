@@ -191,7 +191,8 @@ def shared_intervals(docs: DataFrame, key: str = "doc_id", text: str = "text", s
     one = wanted.join(members.groupBy("text_id").agg(F.min("doc_id").alias("doc_id")), "text_id")
     texts = own.select("doc_id", "text").join(one, "doc_id").select("text_id", "text", "runs")
     stretches = materialise(texts.mapInArrow(_stretches(span), "text_id long, sig long, start long, whole long, alone boolean"), "stretches")
-    twice = stretches.groupBy("sig", "whole").agg(*ends).filter("a <> b").select("sig", "whole")
+    # what isn't alone stands in two texts already, though only one of them is taken to its stretches
+    twice = stretches.groupBy("sig", "whole").agg(*ends, F.bool_and("alone").alias("alone")).filter("a <> b or not alone").select("sig", "whole")
     part = stretches.filter("alone").join(twice, ["sig", "whole"], "left_semi").select("text_id", "start", (F.col("start") + span).alias("stop"))
     run = whole.select("text_id", F.shiftright("run", 32).alias("start"), (F.col("run").bitwiseAND(F.lit(0xFFFFFFFF)) + span).alias("stop"))
     return members, run.unionAll(part)

@@ -384,6 +384,13 @@ def _brute(docs, span):
     return out
 
 
+def test_repeating_texts_share_both_ends(spark):
+    docs = [(k, unit * times) for k, (unit, times) in enumerate([("ab", 200), ("ba", 100), ("xyz", 60), ("yzx", 150), ("zxy", 90), ("pqrs", 40), ("srqp", 40)])]
+    docs += [(20, "k" * 30 + "mn" * 80), (21, "nm" * 80 + "k" * 30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.shared_chars for r in passages.shared_chars(df, span=70).collect()} == _brute(docs, 70)
+
+
 def test_passages(spark):
     rnd = random.Random(8)
     text = lambda n: "".join(rnd.choice("abcdefgh é😀") for _ in range(n))
