@@ -149,6 +149,50 @@ def test_all_kinds_of_evidence_of_a_pair_count(spark, monkeypatch, day, want):
     assert [df.count() for name, df in met if name == "found"] == [want]
 
 
+def test_half_a_name_is_not_a_name(spark, monkeypatch):
+    """Records that share one of a party's two words and nothing else but the day aren't looked at as pairs."""
+    met, real, rnd = [], matching.materialise, random.Random(5)
+    monkeypatch.setattr(matching, "materialise", lambda df, name: met.append((name, real(df, name))) or met[-1][1])
+    word = lambda: "".join(rnd.choice("bdfgklmnprstvxz") + rnd.choice("aeiou") for _ in range(5)).capitalize()
+    rows = [_rel(i, "LR"[i % 2], f"Gamipos {word()}", 10.0 * 1.1 ** i, "2025-03-02", word(), word()) for i in range(40)]
+    rows += [_rel(50, "L", "Gamipos Zorumek", 77.0, "2025-03-02", "Bramville", "walnut"), _rel(51, "R", "Zorumke Gamipso", 77.0, "2025-03-04", "Bramville", "walnut")]
+    text = spark.createDataFrame([], "recon_id long, a_id long, b_id long, source_a string, source_b string")
+    assert [(r.id_l, r.id_r) for r in matching.deals(spark.createDataFrame(rows, _REL), text, every=0).collect()] == [(50, 51)]
+    assert [df.count() for name, df in met if name == "found"] == [1]
+
+
+@pytest.mark.parametrize("alone", [0, 30, 2_000])
+def test_no_text_with_a_weight_is_left_out(spark, monkeypatch, alone):
+    """Few words with edits, initials, starts, repeated and joined words, fields missing: all pairs with a weight are looked at."""
+    met, real, rnd = [], matching.materialise, random.Random(9)
+    monkeypatch.setattr(matching, "ALONE", alone)
+    monkeypatch.setattr(matching, "materialise", lambda df, name: met.append((name, real(df, name))) or met[-1][1])
+    words = ["gamipos", "jekaru", "dupepam", "moyizame", "lefasu", "vürtenga"]
+
+    def word():
+        w = list(rnd.choice(words))
+        for _ in range(rnd.choice([0, 0, 1, 2])):
+            i = rnd.randrange(len(w))
+            w[i:i + 2] = rnd.choice([w[i:i + 2][::-1], w[i:i + 1], ["x"] + w[i:i + 2]])
+        return "".join(w)
+
+    def name():
+        some = [rnd.choice([word(), word(), word(), word()[0] + ".", word()[:4], re.sub("[aeiou]", "", word())]) for _ in range(rnd.choice([1, 2, 2, 2, 3]))]
+        return (some[0] * 2 if rnd.random() < 0.1 else " ".join(some) if rnd.random() < 0.8 else " ".join([some[0]] * 2)).title()
+
+    def text(k):
+        lines = [f"Supplier: {name()}", f"Bill to: {name()}", f"Date: 2025-0{rnd.randrange(1, 9)}-03", f"Ship to: {word()}", f"Total: {rnd.choice([90, 91, 500])}.00 EUR"]
+        goods = [f"{word()} {word()} {rnd.randrange(1, 4)} x {rnd.randrange(5, 9)}.00" for _ in range(rnd.randrange(4))]
+        return "\n".join([f"Document {k}"] + [x for x in lines + goods if rnd.random() < 0.9])
+
+    read = spark.createDataFrame([("text", "LR"[k % 2], k, None, text(k)) for k in range(120)], "domain string, side string, id long, rec struct<party:string>, text string")
+    own = {(r.side, r.id): json.loads(r.rec) | {"h": set(r.h)} for r in matching.candidates(read.mapInArrow(matching._read_records, matching._READ_DDL), every=0)[0].collect()}
+    least = np.log(len(own) + 1) + matching.LEAST
+    weighty = {(i, j) for (s, i), a in own.items() if s == "L" for (t, j), b in own.items() if t == "R" and matching.log_odds(a, b) >= least}
+    found = {(r.id_l, r.id_r) for n, df in met if n == "found" for r in df.collect()}
+    assert weighty <= found and 100 < len(weighty) < 3000
+
+
 def test_words_that_are_alike_share_a_form():
     rnd, every = random.Random(3), {g + k: range(80) for g in "12gl" for k in "wncpoj"}
     for _ in range(4000):
